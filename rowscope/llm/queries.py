@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscope.llm import html, licenses, quality, rules, sharding, simhash, substrings, toxicity
+from rowscope.llm import decontaminate, html, licenses, quality, rules, sharding, simhash, substrings, toxicity
 from rowscope.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, lexicon).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_report(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -48,5 +52,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.col("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_suffix_array_dedup, op5_simhash, op6_quality_rules, op7_license_scans, op9_sharding, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_suffix_array_dedup, op5_simhash, op6_quality_rules, op7_license_scans, op9_sharding, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
