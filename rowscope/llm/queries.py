@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscope.llm import decontaminate, html, licenses, quality, rules, sharding, simhash, substrings, toxicity
+from rowscope.llm import decontaminate, html, licenses, quality, rules, sentencepieces, sharding, simhash, substrings, toxicity
 from rowscope.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), sentencepieces.Vocabulary.load())
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.col("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_suffix_array_dedup, op5_simhash, op6_quality_rules, op7_license_scans, op9_sharding, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_decontamination, op4_suffix_array_dedup, op5_simhash, op6_quality_rules, op7_license_scans, op8_sentencepiece, op9_sharding, op10_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
