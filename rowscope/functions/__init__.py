@@ -1,0 +1 @@
+"""Kinds, number texts and accessors: the scalar layer under the operators."""

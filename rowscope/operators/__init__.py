@@ -1,0 +1 @@
+"""Operators over sources: profile, schema, diff, visual model, code generation, export and edits."""
