@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 # Observation kinds in their canonical order.
 KINDS = ("null", "bool", "int", "float", "string", "array", "object")
 
+# Kinds of VARIANT type names; others are strings.
+_VARIANT = {"VOID": "null", "BOOLEAN": "bool", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "DECIMAL": "float", "ARRAY": "array", "OBJECT": "object"}
+
 
 def kind_of(t: T.DataType) -> str:
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -36,19 +39,9 @@ def variant_kind(v: Column) -> Column:
     An integer too long for BIGINT and a number with a point both parse to DECIMAL; precision tells them apart.
     """
     s = F.schema_of_variant(v)
-    p = F.regexp_extract(s, r"^DECIMAL\((\d+),(\d+)\)", 1)
-    scale = F.regexp_extract(s, r"^DECIMAL\((\d+),(\d+)\)", 2)
-    return (
-        F.when(v.isNull(), F.lit(None))
-        .when(F.is_variant_null(v), "null")
-        .when(s == "BOOLEAN", "bool")
-        .when(s == "BIGINT", "int")
-        .when(s.isin("DOUBLE", "FLOAT"), "float")
-        .when(s.startswith("DECIMAL"), F.when((scale == "0") & (p.cast("int") >= 19), "int").otherwise("float"))
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
-        .otherwise("string")
-    )
+    names = F.create_map(*[F.lit(x) for pair in _VARIANT.items() for x in pair])
+    word = F.try_element_at(names, F.regexp_extract(s, "^[A-Z]+", 0))
+    return F.when(v.isNull(), F.lit(None)).when(s.rlike(r"^DECIMAL\((19|[23]\d),0\)"), "int").otherwise(F.coalesce(word, F.lit("string")))
 
 
 def as_text(c: Column, t: T.DataType) -> Column:
@@ -63,21 +56,34 @@ def number_text(c: Column, t: T.DataType) -> Column:
     if kind_of(t) == "int":
         return c.cast("string")
     d = c.cast("double")
-    repr_ = d.cast("string")
-    sign = F.when(repr_.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(repr_, "^-", "")
-    mantissa = F.regexp_replace(F.substring_index(body, "E", 1), r"\.0$", "")
-    power = F.coalesce(F.nullif(F.regexp_extract(body, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    whole = F.substring_index(mantissa, ".", 1)
-    frac = F.when(F.instr(mantissa, ".") > 0, F.substring_index(mantissa, ".", -1)).otherwise("")
-    digits = F.regexp_replace(F.concat(whole, frac), "^0+", "")
-    lead = F.length(F.concat(whole, frac)) - F.length(digits)
-    exp = power + F.length(whole) - 1 - lead
-    trimmed = F.regexp_replace(digits, "0+$", "")
-    sci = F.concat(F.substring(trimmed, 1, 1), F.when(F.length(trimmed) > 1, F.concat(F.lit("."), trimmed.substr(2, 400))).otherwise(""), F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), trimmed)
-    out = F.when((exp < -4) | (exp >= 6), sci).when(exp < 0, small).otherwise(mantissa)
-    return F.when(d == 0, F.when(repr_.startswith("-"), "-0").otherwise("0")).when(F.isnan(d), "NaN").when(d == float("inf"), "+Inf").when(d == float("-inf"), "-Inf").otherwise(F.concat(sign, out))
+    usual = (F.abs(d) >= 1e-3) & (F.abs(d) < 1e6)
+    return F.when(usual, F.regexp_replace(d.cast("string"), r"\.0$", "")).when(d == 0, "0").otherwise(_let(d.cast("string"), _respelt))
+
+
+def _let(c: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _respelt(text: Column) -> Column:
+    """A number's text, rewritten from its digits and exponent."""
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    parts = F.regexp_extract_all(text, F.lit(r"\d+|E-?\d+"), F.lit(0))  # whole, fraction, exponent if any
+
+    def spell(p: Column) -> Column:
+        power = F.when(F.size(p) > 2, F.get(p, F.lit(2)).substr(2, 9).cast("int")).otherwise(0)
+        digits = F.regexp_replace(F.concat(F.get(p, F.lit(0)), F.get(p, F.lit(1))), "^0+", "")
+        zeros = F.length(F.concat(F.get(p, F.lit(0)), F.get(p, F.lit(1)))) - F.length(digits)
+        return F.struct(F.regexp_replace(digits, "0+$", "").alias("d"), (power + F.length(F.get(p, F.lit(0))) - 1 - zeros).alias("e"))
+
+    def join(x: Column) -> Column:
+        d, e = x["d"], x["e"]
+        point = F.when(F.length(d) > 1, F.concat(F.lit("."), d.substr(2, 400))).otherwise("")
+        long = F.concat(sign, d.substr(1, 1), point, F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        return F.when((e < -4) | (e >= 6), long).otherwise(F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
+
+    odd = F.when(text == "Infinity", "+Inf").when(text == "-Infinity", "-Inf").when(text == "NaN", "NaN")
+    return F.coalesce(odd, _let(_let(parts, spell), join))
 
 
 def number_text_py(x: float) -> str:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowscope.functions.access import ORD, RECORD
 from rowscope.sources.detect import detect, json_mode, separator
@@ -15,7 +15,7 @@ from rowscope.sources.detect import detect, json_mode, separator
 
 @dataclass
 class Source:
-    """``df`` has ``_ord`` and either typed columns, or VARIANT columns, or one VARIANT record ``_rec`` with its ``_raw`` text."""
+    """``df`` has ``_ord`` and either typed columns or one VARIANT record ``_rec`` with its ``_raw`` text."""
 
     df: DataFrame
     format: str
@@ -92,16 +92,25 @@ def json_source(spark: SparkSession, path: str, mode: str) -> Source:
     return Source(numbered(parsed.where(F.col(RECORD).isNotNull())), "json", path, parsed.where(F.col(RECORD).isNull()))
 
 
-def csv_cell(c: Column) -> Column:
-    """A cell's value: null, bool, int (up to 15 digits), float (with a point or exponent, finite) or text."""
-    plain = c.rlike(r"^(true|false)$") | c.rlike(r"^-?(0|[1-9]\d{0,14})$")
-    number = c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & c.rlike(r"[.eE]") & (F.abs(F.try_variant_get(F.to_variant_object(F.array(c)), "$[0]", "double")) < float("inf"))
-    double = F.to_variant_object(F.array(F.when(number, c).try_cast("double")))
-    text = F.try_variant_get(F.to_variant_object(F.array(c)), "$[0]", "variant")
-    return F.when(F.coalesce(c, F.lit("")) == "", F.parse_json(F.lit("null"))).when(plain, F.try_parse_json(c)).when(number, F.try_variant_get(double, "$[0]", "variant")).otherwise(text)
+def csv_json(c: Column) -> Column:
+    """A cell as JSON text: null, bool, int (up to 15 digits), float (with a point or exponent, finite) or string."""
+    plain = c.rlike(r"^(true|false|-?(0|[1-9]\d{0,14}))$")
+    number = c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & c.rlike(r"[.eE]")
+    # a bare point and a leading plus or zero are no JSON; such floats go through double
+    strict = c.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$")
+    finite = F.abs(c.try_cast("double")) < float("inf")
+    text = F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    return F.when(F.coalesce(c, F.lit("")) == "", "null").when(plain, c).when(number & finite, F.when(strict, c).otherwise(c.try_cast("double").cast("string"))).otherwise(text)
 
 
 def csv(spark: SparkSession, path: str, sep: str, raw: bool) -> DataFrame:
+    """Raw: text columns.  Else one VARIANT record a row, as each cell has a kind of its own."""
     df = spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False, mode="PERMISSIVE", enforceSchema=True, nullValue="\x00", emptyValue="")
-    cols = {n: F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")) if raw else csv_cell(F.col(f"`{n}`")) for n in df.columns}
-    return numbered(df).select(*[c.alias(n) for n, c in cols.items()], ORD)
+    names = df.columns
+    if raw:
+        return numbered(df).select(*[F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")).alias(n) for n in names], ORD)
+    parts = []
+    for i, n in enumerate(names):
+        parts += [F.lit(("," if i else "{") + json.dumps(n, ensure_ascii=False) + ":"), csv_json(F.col(f"`{n}`"))]
+    text = numbered(df).select(F.concat(*parts, F.lit("}")).alias("_raw"), ORD)
+    return text.select("_raw", F.try_parse_json("_raw").alias(RECORD), ORD)
