@@ -31,7 +31,7 @@ SAMPLE_DOCS = 4_000
 BENCHMARK_WEIGHT = 3.0
 WIDTH = 64
 ITEMS_PER_BLOCK = 4_096
-COSINE, PART, LIKELY, SURE = 0.5, 0.45, 0.6, 0.8
+COSINE, PART, LIKELY, SURE = 0.4, 0.3, 0.6, 0.8
 #: Words a window, words a step, and the most words of the passages matched with it.
 SCALES = ((32, 8, 26), (64, 16, 1 << 30))
 
