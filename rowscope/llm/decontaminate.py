@@ -206,9 +206,13 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
     count = np.diff(first)
     parts = -(-count // step)  # steps of each text, the last may be short
     cut = np.repeat(first[:-1], parts) + step * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    sums = np.add.reduceat(table[bucket(w)], cut, axis=0)
-    run = np.r_[np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)]
     text_of = np.repeat(np.arange(len(count)), parts)
+    # the words of a step, one column after another; past a text's end stands a row of zeros
+    rows, b, stop = np.r_[table, np.zeros((1, table.shape[1]), np.float32)], np.r_[bucket(w), BUCKETS], first[text_of + 1]
+    sums = rows.take(b[cut], axis=0)
+    for i in range(1, step):
+        sums += rows.take(np.where(cut + i < stop, b[np.minimum(cut + i, len(w))], BUCKETS), axis=0)
+    run = np.r_[np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)]
     last_part = np.cumsum(parts)[text_of]
     for (width, stride, _), (own, vectors, norm) in zip(SCALES, items.scales, strict=True):
         if not len(own):
@@ -220,23 +224,23 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
         length = np.maximum(1e-9, np.linalg.norm(vec, axis=1))[:, None]
         for at in range(0, len(vec), 16_384):
             dot = vec[at : at + 16_384] @ vectors
-            score = dot / length[at : at + 16_384]
-            # the window must point the passage's way and hold enough of its length
-            for i, j in zip(*np.nonzero((score >= cosine) & (dot >= PART * norm)), strict=True):
+            # the window must hold enough of the passage's length and point its way
+            for i, j in zip(*np.nonzero(dot >= PART * norm), strict=True):
+                score = dot[i, j] / length[at + i, 0]
+                if score < cosine:
+                    continue
                 item, d = int(own[j]), int(text_of[begin[at + i]])
-                m = len(items.words[item])
+                m, mask = len(items.words[item]), items.masks[item]
                 a = int(cut[begin[at + i]])
                 lo, hi = max(first[d], a - 16), min(first[d + 1], a + width + 16)
-                near = w[lo:hi]
-                known = np.isin(near, items.words[item])
-                if known.sum() < likely * m:
+                near = [x for x in w[lo:hi].tolist() if x in mask]
+                if len(near) < likely * m:
                     continue
-                near = near[known].tolist()
-                share = lcs(near, items.masks[item], m) / m
+                share = lcs(near, mask, m) / m
                 if share >= sure or share >= likely and _answered(items.words[item], near):
                     old = out[d].get(item)
                     if old is None or share > old[0]:
-                        out[d][item] = (share, float(score[i, j]), int(a - first[d]))
+                        out[d][item] = (share, float(score), int(a - first[d]))
     return out
 
 
