@@ -232,7 +232,8 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
                 item, d = int(own[j]), int(text_of[begin[at + i]])
                 m, mask = len(items.words[item]), items.masks[item]
                 a = int(cut[begin[at + i]])
-                lo, hi = max(first[d], a - 16), min(first[d + 1], a + width + 16)
+                pad = 16 if m <= width else m  # a passage longer than the window is looked for around it
+                lo, hi = max(first[d], a - pad), min(first[d + 1], a + width + pad)
                 near = [x for x in w[lo:hi].tolist() if x in mask]
                 if len(near) < likely * m:
                     continue

@@ -11,6 +11,7 @@ Null and empty texts have no words and no detections.  Whole texts are read, and
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +68,8 @@ CC_VERSIONS = "1 0|2 0|2 5|3 0|4 0"
 # Signatures that are not a family with versions: (label, words, keyword, priority, weight).
 SINGLE = [
     ("mit", "mit license|mit licence|mit licensed|expat license|licensed under (?:the )?mit", "licen", 60, 0.9),
+    ("mit", "spdx licen[sc]e identifier mit", "spdx", 90, 1.0),
+    ("isc", "spdx licen[sc]e identifier isc", "spdx", 90, 1.0),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 70, 0.95),
     ("bsd", "bsd license|bsd licence|bsd style|bsd licensed|berkeley software distribution", "bsd|berkeley", 50, 0.8),
     ("bsd-2-clause", "(?:2|two) clause bsd|bsd (?:2|two) clause|simplified bsd|freebsd license", "bsd", 60, 0.9),
@@ -78,8 +81,8 @@ SINGLE = [
     ("zlib", "zlib license|zlib libpng license|zlib licence", "zlib", 60, 0.9),
     ("unlicense", "unlicense", "unlicense", 60, 0.9),
     ("wtfpl", "wtfpl|do what the fuck you want to public license", "wtfpl|do what", 60, 0.9),
-    ("ms-pl", "microsoft public license|ms pl", "microsoft|ms-pl", 60, 0.9),
-    ("ms-rl", "microsoft reciprocal license|ms rl", "microsoft|ms-rl", 60, 0.9),
+    ("ms-pl", "microsoft public license|ms pl", "microsoft|ms pl", 60, 0.9),
+    ("ms-rl", "microsoft reciprocal license|ms rl", "microsoft|ms rl", 60, 0.9),
     ("postgresql", "postgresql license", "postgresql", 60, 0.9),
     ("openssl", "openssl license", "openssl", 60, 0.9),
     ("ncsa", "university of illinois ncsa|ncsa open source license", "ncsa", 60, 0.9),
@@ -134,7 +137,8 @@ class Scanner:
         self.keywords = keys
         self.word = re.compile(WORD)
         self.base = [(label, re.compile(rf"(?<![^ ]){p}(?![^ ])")) for p, label in BASE.items()]
-        self.likely = re.compile("licen[sc]e|copyright|reserved|creative ?commons|spdx|public domain|warrant|hereby granted|redistribution|released under|distributed under|subject to the|permission to use|gemeinfrei|domaine public|dominio p|vorbehalten|reservados|réservés|proprietary|eula|(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc|apache|bsd|gpl|mpl|epl|cddl|eupl|lgpl|agpl|gnu|mozilla|unlicense|wtfpl|zlib|cc0|gfdl|ofl|odbl|upl|ecl|osl|afl|zpl|lppl|psf|bsl|fdl|cpl|openssl|postgresql|ncsa|microsoft|artistic)(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])")
+        gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # phrases that span words match across any gap
+        self.likely = re.compile("licen[sc]e|copyright|reserved|creative ?commons|spdx|public domain|warrant|hereby granted|do what|ms pl|ms rl|redistribution|released under|distributed under|subject to the|permission to use|gemeinfrei|domaine public|dominio p|vorbehalten|reservados|réservés|proprietary|eula|(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc|apache|bsd|gpl|mpl|epl|cddl|eupl|lgpl|agpl|gnu|mozilla|unlicense|wtfpl|zlib|cc0|gfdl|ofl|odbl|upl|ecl|osl|afl|zpl|lppl|psf|bsl|fdl|cpl|openssl|postgresql|ncsa|microsoft|artistic)(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])".replace(" ?", f"(?:{gap})?").replace(" ", gap))
 
     def scan(self, lowered: str) -> tuple[list[Found], list[Found]]:
         """(base places, surviving detections) of a text whose A-Z are lowered; positions count words from 0."""
@@ -157,9 +161,16 @@ def suppress(hits: list[Found]) -> list[Found]:
     """Drop a hit inside one of higher priority, or of equal priority and greater length (or the same span, earlier in order)."""
     ranked = sorted(set(hits), key=lambda h: (-h.priority, h.first - h.last, h.first, h.label))
     kept: list[Found] = []
+    firsts: list[int] = []  # kept spans of which none holds another, by start and so by end
+    ends: list[int] = []
     for h in ranked:
-        if not any(k.first <= h.first and h.last <= k.last for k in kept):
-            kept.append(h)
+        i = bisect_right(firsts, h.first)
+        if i and ends[i - 1] >= h.last:
+            continue
+        kept.append(h)
+        i = bisect_left(firsts, h.first)
+        j = bisect_right(ends, h.last)
+        firsts[i : max(i, j)], ends[i : max(i, j)] = [h.first], [h.last]
     return sorted(kept, key=lambda h: (h.first, h.last, h.label))
 
 

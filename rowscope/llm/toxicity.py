@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,6 @@ SEEDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "wort
 # Phrases in which a lexicon word is harmless.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "pond scum", "clown fish", "circus clown", "sore loser", "stupid mistake of mine", "white trash bag")
 
-_fold: dict[int, str] = {}
-
 
 class _Fold(dict):
     """Character map filled as characters are met."""
@@ -107,7 +107,11 @@ class Lexicon:
             elif w > hits.get(start, 0.0):
                 hits[start] = w
         if excused:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in excused)}
+            # phrases come by their ends; a start is excused if a phrase begun by then reaches beyond it
+            excused.sort()
+            begins = [a for a, _ in excused]
+            reach = list(accumulate((b for _, b in excused), max))
+            hits = {s: w for s, w in hits.items() if not (i := bisect_right(begins, s)) or reach[i - 1] <= s}
         if not hits:
             return 0.0, 0.0, 0.0
         total = sum(hits.values())
