@@ -29,9 +29,11 @@ BUCKETS = 1 << 16
 RANK = 48
 SAMPLE_DOCS = 4_000
 BENCHMARK_WEIGHT = 3.0
+#: Classes of words by which candidates are counted before they are compared word by word.
+CLASSES = 4_096
 WIDTH = 64
 ITEMS_PER_BLOCK = 4_096
-COSINE, PART, LIKELY, SURE = 0.4, 0.3, 0.6, 0.8
+COSINE, PART, LIKELY, SURE = 0.3, 0.2, 0.6, 0.8
 #: Words a window, words a step, and the most words of the passages matched with it.
 SCALES = ((32, 8, 26), (64, 16, 1 << 30))
 
@@ -55,6 +57,10 @@ def bucket(w: np.ndarray) -> np.ndarray:
     return (w >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
+def word_class(w: np.ndarray) -> np.ndarray:
+    return (w & np.uint64(CLASSES - 1)).astype(np.int64)
+
+
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     """Occurrences of each bucket over all documents; a task sends one row a bucket."""
 
@@ -161,6 +167,8 @@ class Items:
     words: list[np.ndarray]
     masks: list[dict[int, int]]
     scales: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # a scale's items, their unit vectors and lengths
+    size: np.ndarray
+    holds: np.ndarray  # whether an item has a word of the class
 
     @staticmethod
     def of(block: list[tuple], table: np.ndarray) -> Items:
@@ -181,7 +189,9 @@ class Items:
             own = np.flatnonzero((size > low) & (size <= most))
             scales.append((own, np.ascontiguousarray(vec[own].T), norm[own]))
             low = most
-        return Items([i for i, _ in block], words, masks, scales)
+        holds = np.zeros((len(words), CLASSES), bool)
+        holds[np.repeat(np.arange(len(words)), size), word_class(w)] = True
+        return Items([i for i, _ in block], words, masks, scales, size, holds)
 
 
 def lcs(words: list[int], masks: dict[int, int], m: int) -> int:
@@ -213,7 +223,7 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
     for i in range(1, step):
         sums += rows.take(np.where(cut + i < stop, b[np.minimum(cut + i, len(w))], BUCKETS), axis=0)
     run = np.r_[np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)]
-    last_part = np.cumsum(parts)[text_of]
+    last_part, classes = np.cumsum(parts)[text_of], word_class(w)
     for (width, stride, _), (own, vectors, norm) in zip(SCALES, items.scales, strict=True):
         if not len(own):
             continue
@@ -225,15 +235,16 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
         for at in range(0, len(vec), 16_384):
             dot = vec[at : at + 16_384] @ vectors
             # the window must hold enough of the passage's length and point its way
-            for i, j in zip(*np.nonzero(dot >= PART * norm), strict=True):
-                score = dot[i, j] / length[at + i, 0]
-                if score < cosine:
-                    continue
-                item, d = int(own[j]), int(text_of[begin[at + i]])
-                m, mask = len(items.words[item]), items.masks[item]
-                a = int(cut[begin[at + i]])
-                pad = 16 if m <= width else m  # a passage longer than the window is looked for around it
-                lo, hi = max(first[d], a - pad), min(first[d + 1], a + width + pad)
+            i, j = np.nonzero(dot >= PART * norm)
+            score = dot[i, j] / length[at + i, 0]
+            ok = score >= cosine
+            i, item, score = begin[at + i[ok]], own[j[ok]], score[ok]
+            m, d = items.size[item], text_of[i]
+            pad = np.where(m <= width, 16, m)  # a passage longer than the window is looked for around it
+            lo, hi = np.maximum(first[d], cut[i] - pad), np.minimum(first[d + 1], cut[i] + width + pad)
+            ok = _shared(classes, lo, hi, items.holds, item) >= likely * m
+            for i, item, d, lo, hi, score in zip(*(x[ok].tolist() for x in (cut[i], item, d, lo, hi, score)), strict=True):
+                m, mask = int(items.size[item]), items.masks[item]
                 near = [x for x in w[lo:hi].tolist() if x in mask]
                 if len(near) < likely * m:
                     continue
@@ -241,7 +252,20 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
                 if share >= sure or share >= likely and _answered(items.words[item], near):
                     old = out[d].get(item)
                     if old is None or share > old[0]:
-                        out[d][item] = (share, float(score), int(a - first[d]))
+                        out[d][item] = (share, float(score), int(i - first[d]))
+    return out
+
+
+def _shared(classes: np.ndarray, lo: np.ndarray, hi: np.ndarray, holds: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """How many words from ``lo`` to ``hi`` are of a class that the item holds: never fewer than its words there."""
+    out = np.zeros(len(lo), np.int64)
+    most = int((hi - lo).max()) if len(lo) else 1
+    rows = max(1, (1 << 20) // most)
+    for at in range(0, len(lo), rows):
+        own = slice(at, at + rows)
+        pos = lo[own, None] + np.arange(most)
+        seen = holds[item[own, None], classes[np.minimum(pos, len(classes) - 1)]]
+        out[own] = np.count_nonzero(seen & (pos < hi[own, None]), axis=1)
     return out
 
 
