@@ -194,38 +194,55 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(np.floor(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)) + 1
 
 
-def similar_links(sketched: DataFrame, similarity: float, band_radius: int = 2) -> DataFrame:
-    """Verified links (a, b) between distinct sketches (f, s: array of longs).
+def _band_pairs(sketched: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a < b) of sketches (f, c: class so far, s) of different classes that meet in a variant of a 32-bit band.
 
-    Each 32-bit band of the sketch is a fingerprint of its own and emits its variants within half of ``band_radius``.
-    A bucket's members are linked along its sorted run and to its first member; each link is verified on all bits.
+    Each band is a fingerprint of its own and emits its variants within ``radius``.  A bucket's members are paired along
+    its sorted run and with its first member.
     """
-    masks = _masks(ball(32, band_radius // 2))
+    masks = _masks(ball(32, radius))
     band = F.posexplode(F.flatten(F.transform("s", lambda x: F.array(x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)))))
-    bands = sketched.select("f", band.alias("i", "h")).select("f", F.col("h").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 32)).alias("h"), F.explode(masks).alias("m"))
+    bands = sketched.select("f", "c", band.alias("i", "h")).select("f", "c", F.col("h").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 32)).alias("h"), F.explode(masks).alias("m"))
 
     def pairs(batches):
         last = None
         for b in batches:
-            v, f = (b.column(c).to_numpy() for c in ("v", "f"))
+            v, f, c = (b.column(x).to_numpy() for x in ("v", "f", "c"))
             if not len(v):
                 continue
+            own = np.stack([f, c], 1)
             new = np.r_[True, v[1:] != v[:-1]]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-            first, prev = f[lead], np.r_[f[:1], f[:-1]]
+            first, prev = own[lead], np.r_[own[:1], own[:-1]]
+            prev[new] = own[new]
             if last is not None and v[0] == last[0]:
-                first[lead == 0], prev[0], new[0] = last[1], last[2], False
-            last = v[-1], first[-1], f[-1]
-            got = np.r_[np.stack([prev, f], 1)[~new], np.stack([first, f], 1)[~new]]
-            got = np.unique(got[got[:, 0] != got[:, 1]], axis=0)
+                first[lead == 0], prev[0] = last[1], last[2]
+            last = v[-1], first[-1], own[-1]
+            got = np.concatenate([np.stack([x[:, 0], f], 1)[x[:, 1] != c] for x in (first, prev)])
             got.sort(axis=1)
+            got = np.unique(got, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    met = stored(_runs(bands.select(F.col("h").bitwiseXOR(F.col("m")).alias("v"), "f")).mapInArrow(pairs, "a long, b long").distinct())
-    both = met.join(sketched.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a").join(sketched.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return stored(_runs(bands.select(F.col("h").bitwiseXOR(F.col("m")).alias("v"), "f", "c")).mapInArrow(pairs, "a long, b long").distinct())
+
+
+def similar_links(sketched: DataFrame, similarity: float, band_radius: int = 2) -> DataFrame:
+    """Links (a, b) between distinct sketches (f, s: array of longs), each verified on all bits.
+
+    Sketches with an equal band are linked first.  What those links connect is a class, and pairs inside a class add
+    nothing, so the variants of bands, within half of ``band_radius``, give pairs between different classes only.
+    """
     words = sketched.select(F.size("s").alias("n")).first()
-    return both.where(differ <= most_bits(similarity, 64 * (words["n"] if words else 1))).select("a", "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+    def verified(met: DataFrame) -> DataFrame:
+        both = met.join(sketched.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a").join(sketched.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b")
+        return both.where(differ <= most_bits(similarity, 64 * (words["n"] if words else 1))).select("a", "b")
+
+    links = stored(verified(_band_pairs(sketched.withColumn("c", F.col("f")), 0)))
+    known = stored(components(links)).withColumnsRenamed({"node": "f", "root": "c"})
+    classed = stored(sketched.join(known, "f", "left").withColumn("c", F.coalesce("c", "f")))
+    return links.unionAll(verified(_band_pairs(classed, band_radius // 2)))
 
 
 def _named(rows: DataFrame, key: str, links) -> DataFrame:
