@@ -13,9 +13,9 @@ Equal texts share a fingerprint and collapse before anything is emitted, so grou
 are empty; a text without words has fingerprint zero and is linked like any other.  A null doc_id takes part but is
 never the name of a component with other ids.  Repeated rows keep their row each.  Whole texts are read.
 
-``keep_one`` deduplicates by similarity of five-word shingle sets (0.8 or more).  One 64-bit fingerprint at radius 4 is
-too sharp for that, so it takes 512-bit sketches, treats each 32-bit band as a fingerprint with radius 2, and verifies
-colliding pairs on all 512 bits, which estimate the similarity within about 0.02.
+``keep_one`` deduplicates by Jaccard similarity of five-word shingle sets (0.8 or more), exactly up to collisions of
+64-bit hashes.  Shingles have one order, rarest first, by counts of hashed classes: sets that are similar enough share
+one among the first fifth of both (prefix filter), and every pair that can be is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import lower_az, map_text, raw, stored, texts, words_of
+from rowscope.llm.common import lower_az, map_text, raw, slices, stored, texts, words_of
 from rowscope.llm.stats import Hasher, mix
 
 SEED = 42
 RADIUS = 4
+#: Classes of shingles by whose counts the shingles are ordered; any order gives the same links.
+COUNTERS = 1 << 17
 
 
 def _signature(hashes: np.ndarray) -> int:
@@ -161,88 +163,150 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def sketches(arr: pa.Array, width: int = 5, words: int = 8) -> np.ndarray:
-    """Long fingerprints of ``64 * words`` bits, one row a text; shingle hashes are derived from one running sum."""
+def shingle_sets(arr: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """The distinct hashes of each text's word shingles, ascending; a text of fewer words is one shingle."""
     buf, off = raw(arr)
     low = lower_az(buf)
     s, e, doc = words_of(low, off)
     n = len(off) - 1
-    out = np.zeros((n, words), np.uint64)
     if not len(s):
-        return out
+        return [np.zeros(0, np.uint64)] * n
     word = mix(Hasher(low).range(s, e) + (e - s).astype(np.uint64))
     first = np.searchsorted(doc, np.arange(n + 1))
-    salts = mix(np.arange(1, words + 1, dtype=np.uint64))
+    out = []
     for i in range(n):
         w = word[first[i] : first[i + 1]]
-        if not len(w):
-            continue
         k = max(1, len(w) - width + 1)
         h = w[:k].copy()
         for j in range(1, min(width, len(w))):
             h = mix(h * np.uint64(3) + w[j : j + k])
-        on = np.zeros(64 * words, np.int64)
-        for c in range(0, k, 16_384):
-            wide = mix(h[c : c + 16_384, None] ^ salts[None, :])
-            on += np.unpackbits(wide.astype("<u8").view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-        out[i] = np.packbits(2 * on > k, bitorder="little").view("<u8")
+        out.append(np.unique(h))
     return out
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits to expect of shingle sets with this Jaccard similarity: their angle's share of the bits."""
-    return int(np.floor(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)) + 1
+def _set_batches(batches, width: int):
+    """(f, shingle set) of each row of (f, __t), slice by slice."""
+    for whole in batches:
+        for b in slices(whole, "__t"):
+            yield b.column("f").to_numpy(), shingle_sets(texts(b, "__t"), width)
 
 
-def _band_pairs(sketched: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a < b) of sketches (f, c: class so far, s) of different classes that meet in a variant of a 32-bit band.
+def shingle_counts(table: DataFrame, width: int) -> np.ndarray:
+    """In how many texts shingles of each of COUNTERS classes occur; a task sends one row a class."""
 
-    Each band is a fingerprint of its own and emits its variants within ``radius``.  A bucket's members are paired along
-    its sorted run and with its first member.
-    """
-    masks = _masks(ball(32, radius))
-    band = F.posexplode(F.flatten(F.transform("s", lambda x: F.array(x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)))))
-    bands = sketched.select("f", "c", band.alias("i", "h")).select("f", "c", F.col("h").bitwiseOR(F.shiftleft(F.col("i").cast("long"), 32)).alias("h"), F.explode(masks).alias("m"))
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for _, sets in _set_batches(batches, width):
+            total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["b", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in table.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
+        out[r["b"]] = r["n"]
+    return out
+
+
+def _prefixes(table: DataFrame, counts: np.ndarray, similarity: float, width: int) -> DataFrame:
+    """(v, f, n, i): the rarest shingles v of each set of n shingles, at place i of the order by (count, hash)."""
+
+    def run(batches):
+        for fs, sets in _set_batches(batches, width):
+            v, f, n, at = [], [], [], []
+            for own, h in zip(fs.tolist(), sets, strict=True):
+                if not len(h):
+                    continue
+                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                order = np.lexsort((h, counts[(h % np.uint64(COUNTERS)).astype(np.int64)]))[:most]
+                v.append(h[order])
+                f.append(np.full(len(order), own))
+                n.append(np.full(len(order), len(h), np.int32))
+                at.append(np.arange(len(order), dtype=np.int32))
+            if v:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (f, n, at))], names=["v", "f", "n", "i"])
 
-    def pairs(batches):
-        last = None
+    return table.mapInArrow(run, "v long, f long, n int, i int")
+
+
+def _may_reach(n, i, m, j, similarity: float):
+    """Whether sets of n and m shingles whose first common one is at places i and j can be similar enough (numbers, arrays or columns)."""
+    least = similarity * (n + m) - 1e-6
+    return ((n - i) * (1 + similarity) >= least) & ((m - j) * (1 + similarity) >= least)
+
+
+def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``prefixes`` whose shingle another set has, each with its bucket's first set of about its size (l) and the set before it (p)."""
+    n_parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        held, joined, lead = None, False, None
         for b in batches:
-            v, f, c = (b.column(x).to_numpy() for x in ("v", "f", "c"))
-            if not len(v):
+            if not b.num_rows:
                 continue
-            own = np.stack([f, c], 1)
-            new = np.r_[True, v[1:] != v[:-1]]
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-            first, prev = own[lead], np.r_[own[:1], own[:-1]]
-            prev[new] = own[new]
-            if last is not None and v[0] == last[0]:
-                first[lead == 0], prev[0] = last[1], last[2]
-            last = v[-1], first[-1], own[-1]
-            got = np.concatenate([np.stack([x[:, 0], f], 1)[x[:, 1] != c] for x in (first, prev)])
-            got.sort(axis=1)
-            got = np.unique(got, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-    return stored(_runs(bands.select(F.col("h").bitwiseXOR(F.col("m")).alias("v"), "f", "c")).mapInArrow(pairs, "a long, b long").distinct())
-
-
-def similar_links(sketched: DataFrame, similarity: float, band_radius: int = 2) -> DataFrame:
-    """Links (a, b) between distinct sketches (f, s: array of longs), each verified on all bits.
-
-    Sketches with an equal band are linked first.  What those links connect is a class, and pairs inside a class add
-    nothing, so the variants of bands, within half of ``band_radius``, give pairs between different classes only.
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            v, f, n, i = (t.column(c).to_numpy() for c in ("v", "f", "n", "i"))
+            block = np.floor(np.log(n) / -np.log(similarity)).astype(np.int64)
+            same = v[1:] == v[:-1]
+            new = np.r_[True, ~same | (block[1:] != block[:-1])]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+            lf, ln, li = f[at], n[at], i[at]
+            if lead is not None and lead[:2] == (v[0], block[0]):
+                lf[at == 0], ln[at == 0], li[at == 0] = lead[2:]
+            lead = v[-1], block[-1], lf[-1], ln[-1], li[-1]
+            before = np.r_[0, np.arange(len(v) - 1)]
+            tied = np.r_[joined, same]
+            no_l = (lf == f) | ~_may_reach(n, i, ln, li, similarity)
+            no_p = ~np.r_[False, same] | (f[before] == f) | ~_may_reach(n, i, n[before], i[before], similarity)
+            keep = tied | np.r_[same, False]
+            keep[-1] = False  # the last row waits for the next one
+            if held is not None:  # the row that waited; its set before it was in the batch before
+                no_p[0] = no_p[0] & (held_p is None)
+            p = f[before].copy()
+            if held is not None and held_p is not None:
+                p[0] = held_p
+            out = [pa.array(v[keep]), pa.array(f[keep]), pa.array(n[keep]), pa.array(i[keep]), pa.array(lf[keep], mask=no_l[keep]), pa.array(p[keep], mask=no_p[keep])]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays(out, names=["v", "f", "n", "i", "l", "p"])
+            joined, held_p, held_l = bool(tied[-1]), None if no_p[-1] else int(p[-1]), None if no_l[-1] else int(lf[-1])
+            held = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (v, f, n, i)], schema=b.schema)
+        if held is not None and joined:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([held_l], pa.int64()), pa.array([held_p], pa.int64())], names=["v", "f", "n", "i", "l", "p"])
+
+    return prefixes.repartition(n_parts, "v").sortWithinPartitions("v", "n", "f").mapInArrow(run, "v long, f long, n int, i int, l long, p long")
+
+
+def similar_links(table: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """Links (a, b) between the distinct sets of (f, __t), each verified by the exact Jaccard similarity.
+
+    Whatever pair reaches ``similarity`` shares a shingle among the rarest of both, so all pairs that meet there are
+    searched.  A first round tries a few partners of each set; what its links connect is a class, and pairs inside a
+    class add nothing, so the second round takes all pairs of a bucket that are of different classes.
     """
-    words = sketched.select(F.size("s").alias("n")).first()
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-
-    def verified(met: DataFrame) -> DataFrame:
-        both = met.join(sketched.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a").join(sketched.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b")
-        return both.where(differ <= most_bits(similarity, 64 * (words["n"] if words else 1))).select("a", "b")
-
-    links = stored(verified(_band_pairs(sketched.withColumn("c", F.col("f")), 0)))
+    met = stored(_buckets(_prefixes(table, shingle_counts(table, width), similarity, width), similarity))
+
+    def run(batches):
+        for fs, sets in _set_batches(batches, width):
+            off = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(fs), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))], names=["f", "s"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("f")).unionAll(pairs.select(F.col("b").alias("f"))).distinct()
+        sets = stored(table.join(used, "f", "left_semi").mapInArrow(run, "f long, s array<long>"))
+        both = pairs.join(sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return stored(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
+
+    few = met.groupBy("f").agg(*[g(c).alias(f"{c}{k}") for c in ("l", "p") for k, g in enumerate((F.min, F.max))])
+    tried = few.select("f", F.explode(F.array("l0", "l1", "p0", "p1")).alias("g")).where("g is not null")
+    links = verified(stored(tried.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).distinct()))
     known = stored(components(links)).withColumnsRenamed({"node": "f", "root": "c"})
-    classed = stored(sketched.join(known, "f", "left").withColumn("c", F.coalesce("c", "f")))
-    return links.unionAll(verified(_band_pairs(classed, band_radius // 2)))
+    classed = stored(met.select("v", "f", "n", "i").join(known, "f", "left").withColumn("c", F.coalesce("c", "f")))
+    several = classed.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
+    open_ = stored(classed.join(several, "v", "left_semi"))
+    x, y = open_.alias("x"), open_.alias("y")
+    reach = _may_reach(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), similarity)
+    met2 = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.f") < F.col("y.f")) & (F.col("x.c") != F.col("y.c")) & reach)
+    return links.unionAll(verified(stored(met2.select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct())))
 
 
 def _named(rows: DataFrame, key: str, links) -> DataFrame:
@@ -261,18 +325,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: in
     return _named(rows, key, lambda fps: edges(stored(candidates(fps.select("f"), radius)), radius))
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 8) -> DataFrame:
-    """Like ``classes``; links join texts whose shingle sets have at least ``similarity``, as long sketches estimate it."""
-    lean = docs.select(key, F.col(text).alias("__t"), _text_hash(text).alias("__text"))
-    schema = T.StructType([*(f for f in lean.schema.fields if f.name != "__t"), T.StructField("s", T.ArrayType(T.LongType()))])
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Like ``classes``; links join texts whose shingle sets have at least ``similarity``, and f stands for a set."""
+    lean = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"), _text_hash(text).alias("__text"))
+    schema = T.StructType([*lean.schema.fields, T.StructField("f", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        x = sketches(texts(batch, "__t"), width, words).view(np.int64)
-        return {"s": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, words, dtype=np.int32)), pa.array(x.ravel()))}
+        return {"f": np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in shingle_sets(texts(batch, "__t"), width)], np.uint64).view(np.int64)}
 
-    rows = stored(map_text(lean, "__t", run, schema).withColumn("f", F.xxhash64("s")))
-    table = stored(rows.groupBy("f").agg(F.min("s").alias("s")))
-    return _named(rows.drop("s"), key, lambda _: similar_links(table, similarity))
+    rows = stored(map_text(lean, "__t", run, schema).withColumn("__r", F.monotonically_increasing_id()))
+    one = stored(rows.groupBy("f").agg(F.min("__r").alias("__r")).select("__r"))
+    table = rows.join(one, "__r", "left_semi").select("f", "__t")
+    return _named(rows.drop("__t", "__r"), key, lambda _: similar_links(table, similarity, width))
 
 
 def _text_hash(text: str):

@@ -284,3 +284,46 @@ def test_pipeline(docs, labels, spark, tmp_path, vocabulary):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.where("not lossless").count() == 0
     assert {"doc_id", "pieces"} <= set(out.columns) and 16 not in [r["doc_id"] for r in out.collect()]
+
+
+def _shingles(t):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t.lower()) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_sets_equal_brute_force_where_most_texts_share_a_template(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+
+    def fresh(n):
+        return list(rng.choice(vocabulary, n))
+
+    template = fresh(60)
+    rows = [" ".join(template + fresh(int(rng.integers(8, 60)))) for _ in range(150)]  # share most of their words
+    for _ in range(120):
+        own = (template if rng.random() < 0.7 else []) + fresh(int(rng.integers(60, 200)))
+        rows.append(" ".join(own))
+        for _ in range(int(rng.integers(1, 4))):  # pairs on both sides of the threshold
+            other = list(own)
+            for i in rng.choice(len(own), max(1, int(len(own) * rng.uniform(0.005, 0.03))), replace=False):
+                other[i] = str(rng.choice(vocabulary))
+            rows.append(" ".join(other))
+    rows += ["one", "ONE", "", " ", "one two three"]
+    sets = [_shingles(t) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (a or b) and len(a & b) / len(a | b) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(df).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert len(set(got.values())) < 350
