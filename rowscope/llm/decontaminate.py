@@ -2,8 +2,8 @@
 
 Words are hashed to a fixed number of buckets whose counts over all documents give inverse frequencies.  A randomised
 SVD of TF-IDF passages gives the latent space: tasks accumulate A'(A Omega) for a random Omega and one SVD of that
-bounded matrix gives the basis.  The basis is fitted on a bounded sample of documents (SAMPLE_DOCS) and on the
-benchmark, which weighs more, and whitened over passages; counting and search cover every word of every document.  A text is cut into overlapping windows of two sizes, windows and
+bounded matrix gives the basis.  The basis is fitted on all documents and on the benchmark, which weighs more, and
+whitened over all passages; counting and search cover every word of every document.  A text is cut into overlapping windows of two sizes, windows and
 benchmark passages are projected, and windows whose cosine with a passage of their size reaches ``cosine`` are
 candidates.  Each candidate is checked by the longest common subsequence of words: a passage is present if it covers
 ``sure`` of the passage, or ``likely`` of it while half of the passage's answer, its last fifth, occurs too.
@@ -27,7 +27,8 @@ from rowscope.llm.stats import Hasher, mix
 
 BUCKETS = 1 << 16
 RANK = 48
-SAMPLE_DOCS = 4_000
+#: Parts in which tasks send the matrix of buckets.
+PARTS = 64
 BENCHMARK_WEIGHT = 3.0
 #: Classes of words by which candidates are counted before they are compared word by word.
 CLASSES = 4_096
@@ -98,12 +99,10 @@ def _accumulate(g: np.ndarray, b: np.ndarray, first: np.ndarray, idf: np.ndarray
     g[b[order][starts]] += np.add.reduceat(idf[b[order], None] * y[passage[order]], starts, axis=0)
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", rank: int = RANK, sample: int = SAMPLE_DOCS) -> np.ndarray:
+def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rank: int = RANK) -> np.ndarray:
     """The projection of each bucket, weighted, centred and whitened over passages: an array of BUCKETS x rank."""
     idf = inverse(word_counts(docs, text))
-    picked = docs.select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(picked), key).select(text)  # at most ``sample`` keys
-    rows = stored(rows.repartition(8))
+    rows = docs.select(text)
     omega = np.random.default_rng(11).standard_normal((BUCKETS, rank)).astype(np.float32)
 
     def gather(batches):
@@ -113,12 +112,20 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "d
                 w, first = tokens(texts(b, text))
                 if len(w):
                     _accumulate(g, bucket(w), first, idf, omega, WIDTH)
-        own = np.flatnonzero(np.abs(g).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(g[own].astype(np.float64)), pa.list_(pa.float64()))], names=["b", "g"])
+        parts = g.reshape(PARTS, -1)
+        own = np.flatnonzero(np.abs(parts).sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([parts[k].tobytes() for k in own], pa.binary())], names=["k", "g"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("k").to_pylist(), b.column("g"), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["k", "g"])
 
     g = np.zeros((BUCKETS, rank))
-    for r in rows.mapInArrow(gather, "b long, g array<double>").groupBy("b").agg(*[F.sum(F.col("g")[i]) for i in range(rank)]).collect():
-        g[r[0]] = r[1:]
+    for r in rows.mapInArrow(gather, "k long, g binary").repartition(PARTS, "k").mapInArrow(add, "k long, g binary").collect():
+        g.reshape(PARTS, -1)[r["k"]] = np.frombuffer(r["g"])
     own = np.zeros((BUCKETS, rank), np.float32)
     for block in _blocks(benchmark, text, item):
         w, first = tokens(pa.array([t for _, t in block], pa.large_string()))
@@ -289,7 +296,7 @@ def _matches(docs: DataFrame, table: np.ndarray, block: list[tuple], text: str,
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", cosine: float = COSINE, likely: float = LIKELY, sure: float = SURE) -> DataFrame:
     """A row for each document and passage in it: (key, item, lcs_share, cosine, first_word)."""
-    table = fit(docs, benchmark, text, key, item)
+    table = fit(docs, benchmark, text, item)
     kind = benchmark.schema[item].dataType
     out = None
     for block in _blocks(benchmark, text, item):
@@ -301,7 +308,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", cosine: float = COSINE, likely: float = LIKELY, sure: float = SURE) -> DataFrame:
     """The rows of ``docs`` without any passage of the benchmark; columns as they were."""
-    table = fit(docs, benchmark, text, key, item)
+    table = fit(docs, benchmark, text, item)
     kind = benchmark.schema[item].dataType
     out = docs
     for block in _blocks(benchmark, text, item):

@@ -327,3 +327,22 @@ def test_similar_sets_equal_brute_force_where_most_texts_share_a_template(spark)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(df).collect()}
     assert got == {i: find(i) for i in range(len(rows))}
     assert len(set(got.values())) < 350
+
+
+def test_decontamination_is_fitted_on_all_documents(spark):
+    rng = np.random.default_rng(17)
+    words = [f"t{i}" for i in range(3000)]
+    passages = [list(rng.choice(words, 40)) for _ in range(10)]
+    texts = [" ".join(rng.choice(words, 90)) for _ in range(6000)]
+    for i in range(60):  # half of the passages with every eighth word replaced
+        own = [str(rng.choice(words)) if i % 2 and j % 8 == 7 else w for j, w in enumerate(passages[i % 10])]
+        texts[i * 97] += " " + " ".join(own)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()}
+    want = {(i * 97, i % 10) for i in range(60)}
+    assert got <= want and len(got) >= 54
+    # a document without a key counts like any other
+    bare = df.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    a, b = (np.abs(decontaminate.fit(x, bench)) for x in (df, bare))
+    assert np.allclose(a.sum(), b.sum(), rtol=1e-3)
