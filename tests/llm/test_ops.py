@@ -346,3 +346,11 @@ def test_decontamination_is_fitted_on_all_documents(spark):
     bare = df.select(F.lit(None).cast("long").alias("doc_id"), "text")
     a, b = (np.abs(decontaminate.fit(x, bench)) for x in (df, bare))
     assert np.allclose(a.sum(), b.sum(), rtol=1e-3)
+
+
+def test_repeated_lines_do_not_make_texts_similar(spark):
+    rng = np.random.default_rng(8)
+    line = "this line stands here many times\n"
+    rows = [line * 60 + " ".join(f"w{i}" for i in rng.integers(0, 100_000, 150)) for _ in range(12)]
+    df = spark.createDataFrame([*enumerate(rows), (12, rows[0] + "\n" + line), (13, rows[0])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(12))
