@@ -112,11 +112,11 @@ def build_rules() -> list[Rule]:
             rules.append(Rule(tag, rf"spdx licen[sc]e identifier {label} {v}(?: only)?", ("spdx",), 90, 1.0))
     for parts, long in CC_PARTS.items():
         label = "cc-" + parts.replace(" ", "-")
-        rules.append(Rule(label, rf"(?:cc {parts}|creative commons {long})(?: \d \d)?", ("cc", "creative commons"), 50 + 2 * len(parts), 0.8))
+        rules.append(Rule(label, rf"(?:cc {parts}|creative commons {long})(?: \d \d)?", ("cc by", "creative commons"), 50 + 2 * len(parts), 0.8))
         rules.append(Rule(label, rf"creativecommons org licenses {parts}(?: \d \d)?", ("creativecommons",), 60 + 2 * len(parts), 0.9))
         for v in CC_VERSIONS.split("|"):
             tag = f"{label}-{v.replace(' ', '.')}"
-            rules.append(Rule(tag, rf"(?:cc {parts}|creative commons {long}) {v}", ("cc", "creative commons"), 60 + 2 * len(parts), 0.9))
+            rules.append(Rule(tag, rf"(?:cc {parts}|creative commons {long}) {v}", ("cc by", "creative commons"), 60 + 2 * len(parts), 0.9))
             rules.append(Rule(tag, rf"creativecommons org licenses {parts} {v}", ("creativecommons",), 80 + 2 * len(parts), 0.95))
     return sorted(rules, key=lambda r: (-r.priority, r.label, r.pattern))
 
@@ -137,24 +137,22 @@ class Scanner:
         self.keywords = keys
         self.word = re.compile(WORD)
         self.base = [(label, re.compile(rf"(?<![^ ]){p}(?![^ ])")) for p, label in BASE.items()]
-        gap = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # phrases that span words match across any gap
-        self.likely = re.compile("licen[sc]e|copyright|reserved|creative ?commons|spdx|public domain|warrant|hereby granted|do what|ms pl|ms rl|redistribution|released under|distributed under|subject to the|permission to use|gemeinfrei|domaine public|dominio p|vorbehalten|reservados|réservés|proprietary|eula|(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:cc|apache|bsd|gpl|mpl|epl|cddl|eupl|lgpl|agpl|gnu|mozilla|unlicense|wtfpl|zlib|cc0|gfdl|ofl|odbl|upl|ecl|osl|afl|zpl|lppl|psf|bsl|fdl|cpl|openssl|postgresql|ncsa|microsoft|artistic)(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])".replace(" ?", f"(?:{gap})?").replace(" ", gap))
 
     def scan(self, lowered: str) -> tuple[list[Found], list[Found]]:
         """(base places, surviving detections) of a text whose A-Z are lowered; positions count words from 0."""
-        if not self.likely.search(lowered):
-            return [], []
         line = " ".join(self.word.findall(lowered))
-        spaces = np.flatnonzero(np.fromiter(map(ord, line), np.uint32, len(line)) == 32) if line else np.zeros(0, np.int64)
+        present = {k for k in self.keywords if k in line}
+        base = [(label, m) for label, p in self.base for m in p.finditer(line)]
+        hits = [(r, m) for r, p in self.rules if present.intersection(r.keywords) for m in p.finditer(line)]
+        if not base and not hits:
+            return [], []
+        spaces = np.flatnonzero(np.fromiter(map(ord, line), np.uint32, len(line)) == 32)
 
         def at(m: re.Match) -> tuple[int, int]:
             a, b = np.searchsorted(spaces, [m.start(), m.end()])
             return int(a), int(b)
 
-        base = [Found(label, *at(m), 100, 0.8) for label, p in self.base for m in p.finditer(line)]
-        present = {k for k in self.keywords if k in line}
-        hits = [Found(r.label, *at(m), r.priority, r.weight) for r, p in self.rules if present.intersection(r.keywords) for m in p.finditer(line)]
-        return base, suppress(hits)
+        return [Found(label, *at(m), 100, 0.8) for label, m in base], suppress([Found(r.label, *at(m), r.priority, r.weight) for r, m in hits])
 
 
 def suppress(hits: list[Found]) -> list[Found]:

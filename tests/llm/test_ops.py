@@ -354,3 +354,37 @@ def test_repeated_lines_do_not_make_texts_similar(spark):
     rows = [line * 60 + " ".join(f"w{i}" for i in rng.integers(0, 100_000, 150)) for _ in range(12)]
     df = spark.createDataFrame([*enumerate(rows), (12, rows[0] + "\n" + line), (13, rows[0])], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == list(range(12))
+
+
+def _samples(pattern):
+    """Texts that match a rule's pattern, for each branch and with and without what is optional."""
+    def seq(items):
+        out = [""]
+        for op, arg in items:
+            out = [a + b for a in out for b in one(str(op), arg)]
+        return out
+
+    def one(op, arg):
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return ["7" if str(arg[0][1]) == "CATEGORY_DIGIT" else "w" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1])]
+        if op == "BRANCH":
+            return [x for branch in arg[1] for x in seq(branch)]
+        if op == "SUBPATTERN":
+            return seq(arg[3])
+        low, high, inner = arg
+        got = seq(inner)
+        return [*([""] if not low else []), *(x * max(1, low) for x in got)]
+
+    return seq(re._parser.parse(pattern))
+
+
+def test_every_rule_is_found_in_a_text_of_its_own():
+    scanner = licenses.Scanner()
+    for rule, p in scanner.rules:
+        for t in _samples(rule.pattern):
+            assert p.search(t), (rule, t)
+            assert any(k in t for k in rule.keywords) and any(scanner.scan(t)), (rule, t)
+    for t in ("gpl3", "apache2", "mpl2.0", "lgpl2.1", "php 3.01", "eclipse public v 2.0", "python software foundation 2", "boost software 1.0", "affero general public v3", "berkeley software distribution"):
+        assert scanner.scan(t)[1], t
