@@ -173,7 +173,7 @@ class Items:
     ids: list
     words: list[np.ndarray]
     masks: list[dict[int, int]]
-    scales: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # a scale's items, their unit vectors and lengths
+    scales: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # the item of each vector of a scale, unit vectors and lengths
     size: np.ndarray
     holds: np.ndarray  # whether an item has a word of the class
 
@@ -187,14 +187,14 @@ class Items:
             for i, v in enumerate(x.tolist()):
                 m[v] = m.get(v, 0) | 1 << i
             masks.append(m)
-        vec = np.array([table[bucket(x)].sum(0) if len(x) else np.zeros(table.shape[1]) for x in words], np.float32).reshape(-1, table.shape[1])
-        norm = np.maximum(1e-9, np.linalg.norm(vec, axis=1))
-        vec /= norm[:, None]
         size = np.array([len(x) for x in words])
         low, scales = 0, []
-        for _, _, most in SCALES:
-            own = np.flatnonzero((size > low) & (size <= most))
-            scales.append((own, np.ascontiguousarray(vec[own].T), norm[own]))
+        for width, _, most in SCALES:
+            # a passage longer than the window has a vector for each window's length of it, the last up to its end
+            own = [(i, a) for i in np.flatnonzero((size > low) & (size <= most)).tolist() for a in sorted({*range(0, max(1, size[i] - width), width), max(0, size[i] - width)})]
+            vec = np.array([table[bucket(words[i][a : a + width])].sum(0) for i, a in own], np.float32).reshape(-1, table.shape[1])
+            norm = np.maximum(1e-9, np.linalg.norm(vec, axis=1))
+            scales.append((np.array([i for i, _ in own], np.int64), np.ascontiguousarray((vec / norm[:, None]).T), norm))
             low = most
         holds = np.zeros((len(words), CLASSES), bool)
         holds[np.repeat(np.arange(len(words)), size), word_class(w)] = True
@@ -246,6 +246,9 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
             score = dot[i, j] / length[at + i, 0]
             ok = score >= cosine
             i, item, score = begin[at + i[ok]], own[j[ok]], score[ok]
+            best = np.lexsort((-score, item, i))  # of several parts of a passage the nearest stands for it
+            best = best[np.r_[True, (np.diff(i[best]) != 0) | (np.diff(item[best]) != 0)]] if len(best) else best
+            i, item, score = i[best], item[best], score[best]
             m, d = items.size[item], text_of[i]
             pad = np.where(m <= width, 16, m)  # a passage longer than the window is looked for around it
             lo, hi = np.maximum(first[d], cut[i] - pad), np.minimum(first[d + 1], cut[i] + width + pad)

@@ -388,3 +388,13 @@ def test_every_rule_is_found_in_a_text_of_its_own():
             assert any(k in t for k in rule.keywords) and any(scanner.scan(t)), (rule, t)
     for t in ("gpl3", "apache2", "mpl2.0", "lgpl2.1", "php 3.01", "eclipse public v 2.0", "python software foundation 2", "boost software 1.0", "affero general public v3", "berkeley software distribution"):
         assert scanner.scan(t)[1], t
+
+
+def test_long_passages_are_found(spark):
+    rng = np.random.default_rng(23)
+    words = [f"t{i}" for i in range(4000)]
+    passages = [" ".join(rng.choice(words, n)) for n in (400, 600, 801, 1000, 1500)]
+    rows = [(i, " ".join(rng.choice(words, 300)) + (" " + passages[i % 5] + " " if i < 40 else " ") + " ".join(rng.choice(words, 300))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([*enumerate(passages)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()} == {(i, i % 5) for i in range(40)}
