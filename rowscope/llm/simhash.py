@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import lower_az, map_text, raw, slices, stored, texts, words_of
+from rowscope.llm.common import join_small, lower_az, map_text, raw, slices, stored, texts, words_of
 from rowscope.llm.stats import Hasher, mix
 
 SEED = 42
@@ -185,9 +185,13 @@ def shingle_sets(arr: pa.Array, width: int = 5) -> list[np.ndarray]:
 
 
 def _set_batches(batches, width: int):
-    """(f, shingle set) of each row of (f, __t), slice by slice."""
+    """(f, shingle set) of the rows of (f, __t), slice by slice; a task gives each f once."""
+    seen: set[int] = set()
     for whole in batches:
-        for b in slices(whole, "__t"):
+        f, at = np.unique(whole.column("f").to_numpy(), return_index=True)
+        new = np.sort(at[[x not in seen for x in f.tolist()]]) if len(f) else at
+        seen.update(f.tolist())
+        for b in slices(whole.take(pa.array(new)), "__t"):
             yield b.column("f").to_numpy(), shingle_sets(texts(b, "__t"), width)
 
 
@@ -245,6 +249,8 @@ def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
                 continue
             t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
             v, f, n, i = (t.column(c).to_numpy() for c in ("v", "f", "n", "i"))
+            once = np.r_[True, (v[1:] != v[:-1]) | (f[1:] != f[:-1])]  # tasks that hold equal texts send them each
+            v, f, n, i = v[once], f[once], n[once], i[once]
             block = np.floor(np.log(n) / -np.log(similarity)).astype(np.int64)
             same = v[1:] == v[:-1]
             new = np.r_[True, ~same | (block[1:] != block[:-1])]
@@ -276,12 +282,13 @@ def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_links(table: DataFrame, similarity: float, width: int = 5) -> DataFrame:
-    """Links (a, b) between the distinct sets of (f, __t), each verified by the exact Jaccard similarity.
+    """Links (a, b) between the distinct sets of (f, __t, __r: row), each verified by the exact Jaccard similarity.
 
     Whatever pair reaches ``similarity`` shares a shingle among the rarest of both, so all pairs that meet there are
     searched.  A first round tries a few partners of each set; what its links connect is a class, and pairs inside a
     class add nothing, so the second round takes all pairs of a bucket that are of different classes.
     """
+    one = stored(table.groupBy("f").agg(F.min("__r").alias("__r")))
     met = stored(_buckets(_prefixes(table, shingle_counts(table, width), similarity, width), similarity))
 
     def run(batches):
@@ -291,7 +298,8 @@ def similar_links(table: DataFrame, similarity: float, width: int = 5) -> DataFr
 
     def verified(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("f")).unionAll(pairs.select(F.col("b").alias("f"))).distinct()
-        sets = stored(table.join(used, "f", "left_semi").mapInArrow(run, "f long, s array<long>"))
+        rows = stored(used.join(one, "f").select("__r"))
+        sets = stored(join_small(table, rows, ["__r"], "left_semi", 1_000_000).mapInArrow(run, "f long, s array<long>"))
         both = pairs.join(sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return stored(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
@@ -334,9 +342,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return {"f": np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in shingle_sets(texts(batch, "__t"), width)], np.uint64).view(np.int64)}
 
     rows = stored(map_text(lean, "__t", run, schema).withColumn("__r", F.monotonically_increasing_id()))
-    one = stored(rows.groupBy("f").agg(F.min("__r").alias("__r")).select("__r"))
-    table = rows.join(one, "__r", "left_semi").select("f", "__t")
-    return _named(rows.drop("__t", "__r"), key, lambda _: similar_links(table, similarity, width))
+    return _named(rows.drop("__t", "__r"), key, lambda _: similar_links(rows.select("f", "__t", "__r"), similarity, width))
 
 
 def _text_hash(text: str):
