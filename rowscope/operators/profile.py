@@ -131,7 +131,7 @@ def statistics(obs: DataFrame, repeats: bool = True) -> DataFrame:
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS]
     stats = obs.groupBy("path").agg(
         F.count(F.lit(1)).alias("observations"), *counts, F.min(finite).alias("min"), F.max(finite).alias("max"), F.avg(finite).alias("mean"),
-        F.percentile_approx(finite, [0.5, 0.95], 10_000).alias("q"), F.min("len").alias("min_len"), F.max("len").alias("max_len"),
+        F.percentile(finite, F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.min("len").alias("min_len"), F.max("len").alias("max_len"),
     )
     if not repeats:
         return stats.withColumn("presence", F.col("observations"))

@@ -246,7 +246,7 @@ add("prof_bool_distinct", lambda s, d: profile.observations(labelled(s, d)).grou
 add("prof_distinct", lambda s, d: profile.observations(load(s, d, "customer")).select("path", "key").distinct().groupBy("path").agg(F.count("key").alias("n")), _union([f"SELECT '{c}' AS path, count(DISTINCT {c}) AS n FROM customer" for c in _COLS["customer"]]))
 add("prof_distinct_approx", lambda s, d: profile.observations(load(s, d, "lineitem")).groupBy("path").agg(F.approx_count_distinct("key", 0.016).alias("n")))
 add("prof_top10", lambda s, d: profile.top_values(profile.observations(load(s, d, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey", ORD))).select("path", "rank", "key", "n"), _union([f"(SELECT '{c}' AS path, row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR)::INTEGER AS rank, {c}::VARCHAR AS key, count(*) AS n FROM orders GROUP BY {c} ORDER BY n DESC, key LIMIT 10)" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")]))
-add("prof_quantiles", lambda s, d: load(s, d, "lineitem").agg(F.expr("percentile(l_quantity, 0.5)").alias("median"), F.expr("percentile(l_quantity, 0.95)").alias("p95")), "SELECT quantile_cont(l_quantity, 0.5)::DOUBLE AS median, quantile_cont(l_quantity, 0.95)::DOUBLE AS p95 FROM lineitem")
+add("prof_quantiles", lambda s, d: profile.statistics(profile.observations(load(s, d, "lineitem").select("l_quantity", ORD)), False).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("p95")), "SELECT quantile_cont(l_quantity, 0.5)::DOUBLE AS median, quantile_cont(l_quantity, 0.95)::DOUBLE AS p95 FROM lineitem")
 
 
 def _hist(spark: SparkSession, sf_dir: str) -> DataFrame:
