@@ -32,12 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+    """Write ``df`` once to the shared folder and read it back; the shuffle files of the write go when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no later plan reads."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path:
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -57,9 +77,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict], schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
-    """``mapInArrow`` over byte-bounded slices.  ``fn`` returns the new columns; ``keep`` names those carried over (None: all)."""
-    names = list(df.columns) if keep is None else keep
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` over byte-bounded slices.  ``fn`` returns the new columns, the others of ``schema`` are carried over."""
     want = [f.name for f in schema.fields]
     arrow = _arrow_schema(schema)
 
@@ -71,7 +90,6 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict], s
                 cols = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=arrow.field(n).type) for n, c in zip(want, cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=want)
 
-    assert all(n in names or True for n in want)
     return df.mapInArrow(run, schema)
 
 
