@@ -11,6 +11,10 @@ _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 2**64)
+# a second family of hashes, for ranges whose equality must hold beyond 64 bits
+_VALUE2 = _rng.integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE2 = 0xC2B2AE3D27D4EB4F | 1
+_INV2 = pow(_BASE2, -1, 2**64)
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -26,11 +30,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hasher:
     """64-bit hashes of any byte ranges of a buffer, from one running sum of value * base^position."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, second: bool = False):
         n = len(buf)
-        self.inv = _powers(_INV, n + 1)
+        value, base, inv = (_VALUE2, _BASE2, _INV2) if second else (_VALUE, _BASE, _INV)
+        self.inv = _powers(inv, n + 1)
         self.c = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[buf] * _powers(_BASE, n), dtype=np.uint64, out=self.c[1:])
+        np.cumsum(value[buf] * _powers(base, n), dtype=np.uint64, out=self.c[1:])
 
     def range(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return (self.c[e] - self.c[s]) * self.inv[s]

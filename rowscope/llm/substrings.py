@@ -12,8 +12,8 @@ that share those are compared window by window, from the 30 bytes around them.
 so hash classes of the dictionary and the parse stand in for their suffix arrays and no total order of the corpus, and
 no task that holds it, is ever built.
 
-Every count is combined on the map side and every join back reads stored tables, so AQE can split hot keys.  Hashes
-have 64 bits.  Null texts are empty; a text of under 200 bytes loses nothing; matches never cross texts; repeated rows
+Every count is combined on the map side and every join back reads stored tables, so AQE can split hot keys.  What counts
+as equal agrees in 128 bits of two independent hashes.  Null texts are empty; a text of under 200 bytes loses nothing; matches never cross texts; repeated rows
 are copies of each other and lose all that 200-byte windows cover.  Long texts are parsed in segments, whole.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import map_text, raw, slices, stored, texts
-from rowscope.llm.stats import _VALUE, Hasher, mix
+from rowscope.llm.common import dropped, map_text, raw, slices, stored, texts
+from rowscope.llm.stats import Hasher, mix
 
 LENGTH = 200
 GRAM = 48
@@ -39,11 +39,11 @@ _LOW = np.uint64(0xFFFFFF)
 
 
 def parse(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Phrases of concatenated texts: (first window, number of windows, trigger position, trigger hash, phrase hash)."""
+    """Phrases of concatenated texts: (first window, number of windows, trigger position, trigger hash, two phrase hashes)."""
     n = len(buf)
     if n < length:
         z, u = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return z, z, z, u, u
+        return z, z, z, u, u, u
     h = Hasher(buf)
     g = mix(h.grams(gram))
     # the least gram hash of each window, the rightmost of equal ones
@@ -66,7 +66,7 @@ def parse(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     last = ends[np.searchsorted(ends, first)]
     t = at[first]
     shape = ((t - first) * 1_000_003 + (last - first)).astype(np.uint64)
-    return first, last - first + 1, t, g[t], mix(h.range(first, last + length) + mix(shape))
+    return first, last - first + 1, t, g[t], mix(h.range(first, last + length) + mix(shape)), mix(Hasher(buf, True).range(first, last + length) + shape)
 
 
 def _pieces(arr: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -83,12 +83,12 @@ def _pieces(arr: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def phrases(arr: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, packed place, trigger hash, phrase hash) of a batch's phrases.  place: window << 16 | windows - 1 << 8 | trigger offset."""
+    """(row, packed place, trigger hash, two phrase hashes) of a batch's phrases.  place: window << 16 | windows - 1 << 8 | trigger offset."""
     out = []
     for buf, off, rows, base in _pieces(arr):
-        first, n, t, a, c = parse(buf, off)
+        first, n, t, a, c, c2 = parse(buf, off)
         doc = np.searchsorted(off, first, side="right") - 1
-        out.append((rows[doc], (first - off[doc] + base) << 16 | (n - 1) << 8 | (t - first), a, c))
+        out.append((rows[doc], (first - off[doc] + base) << 16 | (n - 1) << 8 | (t - first), a, c, c2))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -100,19 +100,20 @@ def _phrase_table(docs: DataFrame, places: bool) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole, "__t"):
-                row, p, a, c = phrases(texts(b, "__t"))
-                cols, names = [a.view(np.int64), c.view(np.int64)], ["a", "c"]
+                row, p, a, c, c2 = phrases(texts(b, "__t"))
+                cols, names = [x.view(np.int64) for x in (a, c, c2)], ["a", "c", "c2"]
                 if places:
                     cols, names = [*cols, b.column("k").to_numpy()[row], p], [*names, "k", "p"]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
 
-    return docs.mapInArrow(run, "a long, c long" + ", k long, p long" * places)
+    return docs.mapInArrow(run, "a long, c long, c2 long" + ", k long, p long" * places)
 
 
-def _shared(df: DataFrame, key: str, kind) -> DataFrame:
-    """(key, many): keys of two rows or more, and whether these are of more than one kind."""
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(kind).alias("x"), F.max(kind).alias("y"))
-    return stored(g.where("n > 1").select(key, (F.col("x") != F.col("y")).alias("many")))
+def _shared(df: DataFrame, keys: list[str], kinds: list) -> DataFrame:
+    """(keys, many): keys of two rows or more, and whether these are of more than one kind."""
+    ends = [f(k).alias(f"{n}{i}") for i, k in enumerate(kinds) for n, f in (("x", F.min), ("y", F.max))]
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends)
+    return stored(g.where("n > 1").select(*keys, F.expr(" or ".join(f"x{i} <> y{i}" for i in range(len(kinds)))).alias("many")))
 
 
 def _block_table(docs: DataFrame, fine: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def _block_table(docs: DataFrame, fine: DataFrame) -> DataFrame:
                 p = ps.flatten().to_numpy()
                 s0, n, to = p >> 16, ((p >> 8) & 255) + 1, p & 255
                 t = s0 + to
-                h = Hasher(buf)
+                h, h2 = Hasher(buf), Hasher(buf, True)
                 pad = np.r_[np.zeros(BLOCK, np.uint8), buf, np.zeros(BLOCK, np.uint8)]
                 for j in range(j_max):
                     # windows of this block have the trigger BLOCK * j + x bytes in, x from lo to hi
@@ -140,52 +141,55 @@ def _block_table(docs: DataFrame, fine: DataFrame) -> DataFrame:
                         continue
                     at = off[row[own]] + t[own] - BLOCK * j
                     core = mix(h.range(at, at + LENGTH - BLOCK + 1) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                    core2 = mix(h2.range(at, at + LENGTH - BLOCK + 1) + np.uint64(j + 1))
                     near = at[:, None] + np.r_[np.arange(-BLOCK + 1, 0), LENGTH - BLOCK + 1 + np.arange(BLOCK - 1)] + BLOCK
                     around = pad[np.clip(near, 0, len(pad) - 1)]
                     place = (t[own] - BLOCK * j) << 8 | lo[own] << 4 | hi[own]
                     flat = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, around.size + 1, around.shape[1], dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around))])
-                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), flat, b.column("k").take(pa.array(row[own])), pa.array(place)], names=["core", "around", "k", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(core2.view(np.int64)), flat, b.column("k").take(pa.array(row[own])), pa.array(place)], names=["core", "core2", "around", "k", "p"])
 
-    return joined.mapInArrow(run, "core long, around binary, k long, p long")
-
-
-_POW = np.cumprod(np.full(BLOCK - 1, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
+    return joined.mapInArrow(run, "core long, core2 long, around binary, k long, p long")
 
 
 def _windows(batches):
-    """(window hash, k, window) from blocks."""
+    """(window hash, second hash, k, window) from blocks: hashes of the common bytes and of the fifteen that differ, as they are."""
     for b in batches:
         around = np.frombuffer(b"".join(b.column("around").to_pylist()), np.uint8).reshape(len(b), 2 * BLOCK - 2)
-        core, k, p = (b.column(c).to_numpy() for c in ("core", "k", "p"))
-        value, lo, hi = _VALUE[around], (p >> 4) & 15, p & 15
+        core, core2, k, p = (b.column(c).to_numpy() for c in ("core", "core2", "k", "p"))
+        lo, hi = (p >> 4) & 15, p & 15
         for x in range(BLOCK):
-            own = (lo <= x) & (x <= hi)
-            part = (value[own, BLOCK - 1 - x : 2 * BLOCK - 2 - x] * _POW).sum(1, dtype=np.uint64)
-            w = mix(core[own].view(np.uint64) + mix(part + np.uint64(x)))
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(k[own]), pa.array((p[own] >> 8) - x)], names=["w", "k", "s"])
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """(k, s, n): windows s to s + n - 1 of text k also start elsewhere.  ``docs`` has k and __t."""
-    shared = _shared(_phrase_table(docs, False), "a", F.col("c"))
+            own = np.flatnonzero((lo <= x) & (x <= hi))
+            rest = np.zeros((len(own), BLOCK), np.uint8)
+            rest[:, : BLOCK - 1] = around[own, BLOCK - 1 - x : 2 * BLOCK - 2 - x]
+            rest[:, BLOCK - 1] = x
+            half = rest.view("<u8")  # all bytes that differ inside a block, in two numbers
+            w, w2 = mix(core[own].view(np.uint64)) ^ mix(half[:, 0] * np.uint64(3)), mix(core2[own].view(np.uint64)) ^ mix(half[:, 1] + np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(k[own]), pa.array((p[own] >> 8) - x)], names=["w", "w2", "k", "s"])
+
+
+def repeated(docs: DataFrame) -> list[DataFrame]:
+    """Stored tables (k, s, n): windows s to s + n - 1 of text k also start elsewhere.  ``docs`` has k and __t."""
+    shared = _shared(_phrase_table(docs, False), ["a"], [F.col("c"), F.col("c2")])
     found = stored(_phrase_table(docs, True).join(shared, "a"))
     many = found.where("many")
     me = F.xxhash64("k", "p")
-    counts = stored(many.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("one")))
-    known = stored(many.join(counts, ["a", "c"]).select("k", "p", "n", (me == F.col("one")).alias("one")))
+    counts = stored(many.groupBy("a", "c", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("one")))
+    known = stored(many.join(counts, ["a", "c", "c2"]).select("k", "p", "n", (me == F.col("one")).alias("one")))
     whole = found.where("not many").select("k", "p").unionAll(known.where("n > 1").select("k", "p"))
-    spans = whole.select("k", F.shiftright("p", 16).alias("s"), (F.shiftright("p", 8).bitwiseAND(F.lit(255)) + 1).alias("n"))
+    spans = stored(whole.select("k", F.shiftright("p", 16).alias("s"), (F.shiftright("p", 8).bitwiseAND(F.lit(255)) + 1).alias("n")))
+    dropped(shared, found, counts)
     # a phrase found once, and one of each found more often, may share windows with other phrases of its trigger
     blocks = stored(_block_table(docs, known.where("n = 1 or one").select("k", "p")))
-    cores = _shared(blocks, "core", F.xxhash64("around"))
-    met = blocks.join(cores, "core").select("core", "around", "k", "p", "many")
-    met = stored(met)
+    cores = _shared(blocks, ["core", "core2"], [F.xxhash64("around"), F.hash("around")])
+    met = stored(blocks.join(cores, ["core", "core2"]).select("core", "core2", "around", "k", "p", "many"))
+    dropped(known, blocks, cores)
     sure = met.where("not many").select("k", (F.shiftright("p", 8) - F.col("p").bitwiseAND(F.lit(15))).alias("s"), (F.col("p").bitwiseAND(F.lit(15)) - F.shiftright("p", 4).bitwiseAND(F.lit(15)) + 1).alias("n"))
-    sure = sure.where("n > 0")
-    windows = stored(met.where("many").select("core", "around", "k", "p").mapInArrow(_windows, "w long, k long, s long"))
-    twice = stored(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
-    single = windows.join(twice, "w").select("k", "s", F.lit(1).cast("long").alias("n"))
-    return spans.unionAll(sure).unionAll(single)
+    sure = stored(sure.where("n > 0"))
+    windows = stored(met.where("many").select("core", "core2", "around", "k", "p").mapInArrow(_windows, "w long, w2 long, k long, s long"))
+    twice = stored(windows.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2"))
+    single = stored(windows.join(twice, ["w", "w2"]).select("k", "s", F.lit(1).cast("long").alias("n")))
+    dropped(met, windows, twice)
+    return [spans, sure, single]
 
 
 def cut(data: bytes, starts: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
@@ -203,7 +207,10 @@ def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with ``__ws``: packed spans of repeated windows (null: none)."""
     base = docs.withColumn("__id", F.col(key).cast("string"))
     lean = base.select(_key(text).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    packed = repeated(lean).groupBy("k").agg(F.collect_set(F.shiftleft("s", 16).bitwiseOR(F.col("n"))).alias("__ws"))
+    parts = repeated(lean)
+    spans = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    packed = stored(spans.groupBy("k").agg(F.collect_set(F.shiftleft("s", 16).bitwiseOR(F.col("n"))).alias("__ws")))
+    dropped(*parts)
     return base.withColumn("__k", _key(text)).join(packed.withColumnRenamed("k", "__k"), "__k", "left").drop("__k", "__id")
 
 
