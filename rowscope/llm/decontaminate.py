@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval and checks of the words.
 
-Words are hashed to a fixed number of buckets whose counts over all documents give inverse frequencies.  A randomised
-SVD of TF-IDF passages gives the latent space: tasks accumulate A'(A Omega) for a random Omega and one SVD of that
-bounded matrix gives the basis.  The basis is fitted on all documents and on the benchmark, which weighs more, and
-whitened over all passages; counting and search cover every word of every document.  A text is cut into overlapping windows of two sizes, windows and
-benchmark passages are projected, and windows whose cosine with a passage of their size reaches ``cosine`` are
-candidates.  Each candidate is checked by the longest common subsequence of words: a passage is present if it covers
-``sure`` of the passage, or ``likely`` of it while half of the passage's answer, its last fifth, occurs too.
+Words are hashed to a fixed number of buckets; in how many of all documents a bucket occurs gives its inverse
+frequency.  A randomised SVD of TF-IDF passages gives the latent space: tasks accumulate A'(A Omega) for a random Omega
+with more columns than the space has axes, the range of that bounded matrix is found, all passages are projected on it,
+and the greatest axes of their covariance are kept and whitened.  The range is fitted on all documents and on the
+benchmark, which weighs more.  Every word of every document is counted, fitted and searched.  A text is cut into
+overlapping windows of two sizes, windows and benchmark passages are projected, and windows whose cosine with a passage
+of their size reaches ``cosine`` are candidates.  Each candidate is checked by the words: a passage is present if the
+longest common subsequence covers ``sure`` of the passage, or ``likely`` of it while half of the passage's answer, its
+last fifth, occurs too, or if nearly all of its words are there and nearly half of them in its order.
 
 The benchmark is matched in blocks of a fixed number of passages, so no block grows with it.  Null and empty texts and
 passages match nothing.  Repeated rows each give their matches.  All columns other than the named ones pass through.
@@ -14,6 +16,7 @@ passages match nothing.  Repeated rows each give their matches.  All columns oth
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +29,7 @@ from rowscope.llm.common import map_text, raw, slices, stored, texts, words_of
 from rowscope.llm.stats import Hasher, mix
 
 BUCKETS = 1 << 16
-RANK = 48
+RANK, OVERSAMPLE = 48, 16
 #: Parts in which tasks send the matrix of buckets.
 PARTS = 64
 BENCHMARK_WEIGHT = 3.0
@@ -35,6 +38,8 @@ CLASSES = 4_096
 WIDTH = 64
 ITEMS_PER_BLOCK = 4_096
 COSINE, PART, LIKELY, SURE = 0.3, 0.2, 0.6, 0.8
+#: Of a passage whose order is changed: the least share of its words, and the least share in its order.
+WORDS, ORDER = 0.9, 0.4
 #: Words a window, words a step, and the most words of the passages matched with it.
 SCALES = ((32, 8, 26), (64, 16, 1 << 30))
 
@@ -62,27 +67,29 @@ def word_class(w: np.ndarray) -> np.ndarray:
     return (w & np.uint64(CLASSES - 1)).astype(np.int64)
 
 
-def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """Occurrences of each bucket over all documents; a task sends one row a bucket."""
+def document_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """In how many documents each bucket occurs, and of how many; a task sends one row a bucket."""
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total, n = np.zeros(BUCKETS + 1, np.int64), 0
         for whole in batches:
             for b in slices(whole, text):
-                total += np.bincount(bucket(tokens(texts(b, text))[0]), minlength=BUCKETS)
+                w, first = tokens(texts(b, text))
+                doc = np.repeat(np.arange(len(b)), np.diff(first))
+                total[:BUCKETS] += np.bincount(np.unique(doc << 16 | bucket(w)) & (BUCKETS - 1), minlength=BUCKETS)
+                total[BUCKETS] += len(b)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["b", "n"])
 
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(BUCKETS + 1, np.int64)
     for r in docs.select(text).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
         out[r["b"]] = r["n"]
-    return out
+    return out[:BUCKETS], int(out[BUCKETS])
 
 
-def inverse(counts: np.ndarray) -> np.ndarray:
-    """Weights that fall with a word's share of all words."""
-    share = counts / max(1, counts.sum())
-    return (2e-5 / (2e-5 + share)).astype(np.float32)
+def inverse(counts: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency, 1 for what occurs nowhere; squared, as passages repeat few of their words."""
+    return ((np.log((n + 1) / (counts + 1)) / np.log(n + 2)) ** 2).astype(np.float32)
 
 
 def _accumulate(g: np.ndarray, b: np.ndarray, first: np.ndarray, idf: np.ndarray, omega: np.ndarray, size: int) -> None:
@@ -99,14 +106,19 @@ def _accumulate(g: np.ndarray, b: np.ndarray, first: np.ndarray, idf: np.ndarray
     g[b[order][starts]] += np.add.reduceat(idf[b[order], None] * y[passage[order]], starts, axis=0)
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rank: int = RANK) -> np.ndarray:
-    """The projection of each bucket, weighted, centred and whitened over passages: an array of BUCKETS x rank."""
-    idf = inverse(word_counts(docs, text))
+def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rank: int = RANK, more: int = OVERSAMPLE) -> np.ndarray:
+    """The projection of each bucket, weighted, centred and whitened over passages: an array of BUCKETS x rank.
+
+    The first pass finds the range of A'A on a random Omega of ``rank`` + ``more`` columns, the second projects all
+    passages on it; the ``rank`` greatest axes of their covariance are the space.
+    """
+    idf = inverse(*document_counts(docs, text))
     rows = docs.select(text)
-    omega = np.random.default_rng(11).standard_normal((BUCKETS, rank)).astype(np.float32)
+    wide = rank + more
+    omega = np.random.default_rng(11).standard_normal((BUCKETS, wide)).astype(np.float32)
 
     def gather(batches):
-        g = np.zeros((BUCKETS, rank), np.float32)
+        g = np.zeros((BUCKETS, wide), np.float32)
         for whole in batches:
             for b in slices(whole, text, 1 << 20):
                 w, first = tokens(texts(b, text))
@@ -121,41 +133,48 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
         for b in batches:
             for k, x in zip(b.column("k").to_pylist(), b.column("g"), strict=True):
                 total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["k", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["k", "g"])
 
-    g = np.zeros((BUCKETS, rank))
+    def join(batches):
+        total = sum(np.frombuffer(x.as_buffer()) for b in batches for x in b.column("x"))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if np.ndim(total) else [], pa.binary())], names=["x"])
+
+    g = np.zeros((BUCKETS, wide), np.float32)
     for r in rows.mapInArrow(gather, "k long, g binary").repartition(PARTS, "k").mapInArrow(add, "k long, g binary").collect():
-        g.reshape(PARTS, -1)[r["k"]] = np.frombuffer(r["g"])
-    own = np.zeros((BUCKETS, rank), np.float32)
+        g.reshape(PARTS, -1)[r["k"]] = np.frombuffer(r["g"], np.float32)
+    own = np.zeros((BUCKETS, wide), np.float32)
     for block in _blocks(benchmark, text, item):
         w, first = tokens(pa.array([t for _, t in block], pa.large_string()))
         if len(w):
             _accumulate(own, bucket(w), first, idf, omega, WIDTH)
     g = g / max(1e-9, np.linalg.norm(g)) + BENCHMARK_WEIGHT * own / max(1e-9, np.linalg.norm(own))
-    u, _, _ = np.linalg.svd(g, full_matrices=False)
-    table = (u * idf[:, None]).astype(np.float32)
+    q, _ = np.linalg.qr(g)
+    table = (q * idf[:, None]).astype(np.float32)
 
     def moments(batches):
-        total, outer, words, passages = np.zeros(rank), np.zeros((rank, rank)), np.zeros(rank), [0, 0]
+        total, outer, words, passages = np.zeros(wide), np.zeros((wide, wide)), np.zeros(wide), [0, 0]
         for whole in batches:
             for b in slices(whole, text, 1 << 20):
                 w, _ = tokens(texts(b, text))
                 x = table[bucket(w)]
                 words += x.sum(0, dtype=np.float64)
-                v = x[: len(x) // WIDTH * WIDTH].reshape(-1, WIDTH, rank).sum(1, dtype=np.float64)
+                v = x[: len(x) // WIDTH * WIDTH].reshape(-1, WIDTH, wide).sum(1, dtype=np.float64)
                 total += v.sum(0)
                 outer += v.T @ v
                 passages[0] += len(v)
                 passages[1] += len(w)
-        yield pa.RecordBatch.from_arrays([pa.array([[*map(float, passages), *words, *total, *outer.ravel()]], pa.list_(pa.float64()))], names=["x"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.r_[passages, words, total, outer.ravel()].astype(np.float64).tobytes()], pa.binary())], names=["x"])
 
-    got = np.array([r["x"] for r in rows.mapInArrow(moments, "x array<double>").collect()]).sum(0)
-    n, nw, words, total, outer = max(got[0], 1), max(got[1], 1), got[2 : 2 + rank], got[2 + rank : 2 + 2 * rank], got[2 + 2 * rank :].reshape(rank, rank)
+    got = np.zeros(2 + 2 * wide + wide * wide)
+    for r in rows.mapInArrow(moments, "x binary").repartition(PARTS).mapInArrow(join, "x binary").collect():
+        got += np.frombuffer(r["x"])
+    n, nw, words, total, outer = max(got[0], 1), max(got[1], 1), got[2 : 2 + wide], got[2 + wide : 2 + 2 * wide], got[2 + 2 * wide :].reshape(wide, wide)
     mean = total / n
     value, axes = np.linalg.eigh(outer / n - np.outer(mean, mean))
-    if value.max() <= 0:
-        return table
-    return ((table - (words / nw).astype(np.float32)) @ (axes / np.sqrt(np.maximum(value, 1e-9 * value.max())))).astype(np.float32)
+    value, axes = value[::-1][:rank], axes[:, ::-1][:, :rank]
+    if not len(value) or value[0] <= 0:
+        return np.ascontiguousarray(table[:, :rank])
+    return ((table - (words / nw).astype(np.float32)) @ (axes / np.sqrt(np.maximum(value, 1e-9 * value[0])))).astype(np.float32)
 
 
 def _blocks(benchmark: DataFrame, text: str, item: str):
@@ -259,7 +278,7 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
                 if len(near) < likely * m:
                     continue
                 share = lcs(near, mask, m) / m
-                if share >= sure or share >= likely and _answered(items.words[item], near):
+                if share >= sure or share >= likely and _answered(items.words[item], near) or share >= ORDER and _held(mask, near) >= WORDS * m:
                     old = out[d].get(item)
                     if old is None or share > old[0]:
                         out[d][item] = (share, float(score), int(i - first[d]))
@@ -284,6 +303,12 @@ def _answered(passage: np.ndarray, near: list[int]) -> bool:
     return 2 * len(answer & set(near)) >= len(answer)
 
 
+def _held(mask: dict[int, int], near: list[int]) -> int:
+    """How many of a passage's words occur, each as often as it has it at most."""
+    have = Counter(near)
+    return sum(min(n, mask[w].bit_count()) for w, n in have.items())
+
+
 def _matches(docs: DataFrame, table: np.ndarray, block: list[tuple], text: str, item_type: T.DataType, cosine: float, likely: float, sure: float) -> DataFrame:
     """``docs`` and ``__m``: the matches of each row with the passages of the block."""
     hit = T.StructType([T.StructField("item", item_type), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("word", T.LongType())])
