@@ -4,7 +4,8 @@ A logistic classifier over document statistics, trained here on a bounded sample
 its evidence.  Grouped aggregation sums the evidence by path and by host; sparse sites shrink: a path's rate toward its
 host's, a host's toward the global rate, with strengths estimated from the spread between sites by moments.  A
 document's posterior odds are its own evidence times its path's posterior odds over the global odds, damped by
-``site_weight`` so that a site never outweighs clear evidence.
+``site_weight`` so that a site never outweighs clear evidence.  A document's own evidence is left out of the sums of its
+path and host, so it counts once; a document that is alone at its site gets the shrunk prior.
 
 Null host or path: a site of its own.  Null and empty texts: scored from zero statistics like any other row.  Repeated
 rows count each.  Labels of one class only: every document is kept.  Sites are joined by broadcast only where their
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import join_small, map_text, stored, texts
+from rowscope.llm.common import dropped, join_small, map_text, stored, texts
 from rowscope.llm.rules import labelled_sample, stats_rows
 from rowscope.llm.stats import FEATURES, features, measure
 from rowscope.llm.toxicity import fit_logistic
@@ -70,18 +71,21 @@ def with_evidence(docs: DataFrame, model: Evidence, text: str, host: str, path:
     return out.withColumns({_HOST: site(host), _PATH: site(path)})
 
 
-def sites(scored: DataFrame) -> tuple[DataFrame, float]:
-    """A row for each (host, path) with its posterior rate, and the global rate."""
-    p = 1 / (1 + F.exp(-F.col(_EV)))
-    # sums of whole millionths do not depend on the order of addition
-    paths = stored(scored.groupBy(_HOST, _PATH).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(p * 1e6).cast("long")).alias("s")))
-    hosts = paths.groupBy(_HOST).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+def _own() -> F.Column:
+    """A document's evidence as whole millionths of a good document: their sums do not depend on the order of addition."""
+    return F.round(1e6 / (1 + F.exp(-F.col(_EV)))).cast("long")
 
-    def moments(df: DataFrame, n: str, s: str, centre) -> tuple[float, float, float]:
+
+def sites(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """(host, path, n, s, hn, hs): documents and good ones of each site and its host; the global rate and both priors' strengths."""
+    paths = stored(scored.groupBy(_HOST, _PATH).agg(F.count(F.lit(1)).alias("__n"), F.sum(_own()).alias("__s")))
+    hosts = paths.groupBy(_HOST).agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
+
+    def moments(df: DataFrame, n: str, s: str, centre) -> tuple[float, float, float, float]:
         r = df.agg(F.sum(n).alias("n"), F.sum(F.col(s) / 1e6).alias("s"), F.sum(F.col(n) * F.pow(F.col(s) / 1e6 / F.col(n) - centre, 2)).alias("q"), F.count(F.lit(1)).alias("k")).first()
-        return float(r["n"] or 0), float(r["s"] or 0), (float(r["q"] or 0), float(r["k"] or 0))
+        return tuple(float(r[c] or 0) for c in ("n", "s", "q", "k"))
 
-    n, s, _ = moments(hosts, "hn", "hs", F.lit(0.0))
+    n, s, _, _ = moments(hosts, "__hn", "__hs", F.lit(0.0))
     p0 = min(max(s / n, 1e-4), 1 - 1e-4) if n else 0.5
 
     def strength(q: float, k: float) -> float:
@@ -90,13 +94,12 @@ def sites(scored: DataFrame) -> tuple[DataFrame, float]:
         between = max((q - within * max(k - 1, 0)) / n, within / 1e4) if n else within
         return float(np.clip(within / between, 2.0, 1e4))
 
-    _, _, (q, k) = moments(hosts, "hn", "hs", F.lit(p0))
-    mh = strength(q, k)
-    both = paths.join(hosts, _HOST).withColumn("hp", (F.col("hs") / 1e6 + mh * p0) / (F.col("hn") + mh))
-    _, _, (q, k) = moments(both, "n", "s", F.col("hp"))
-    mp = strength(q, k)
-    post = (F.col("s") / 1e6 + mp * F.col("hp")) / (F.col("n") + mp)
-    return both.select(_HOST, _PATH, F.col("n").alias("site_rows"), F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), post)).alias("site_rate")), p0
+    mh = strength(*moments(hosts, "__hn", "__hs", F.lit(p0))[2:])
+    both = stored(paths.join(hosts, _HOST))
+    centred = both.withColumn("__hp", (F.col("__hs") / 1e6 + mh * p0) / (F.col("__hn") + mh))
+    mp = strength(*moments(centred, "__n", "__s", F.col("__hp"))[2:])
+    dropped(paths)
+    return both, p0, mh, mp
 
 
 def classify(docs: DataFrame, model: Evidence, text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, site_weight: float = 0.5, keep_text: bool = False) -> DataFrame:
@@ -106,12 +109,18 @@ def classify(docs: DataFrame, model: Evidence, text: str = "text", host: str = "
     lean = with_evidence(docs, model, text, host, path, False)
     if not keep_text:
         lean = stored(lean)
-    table, p0 = sites(lean)
+    table, p0, mh, mp = sites(lean)
     base = with_evidence(docs, model, text, host, path, True) if keep_text else lean
-    joined = join_small(base, stored(table), [_HOST, _PATH])
+    joined = join_small(base, table, [_HOST, _PATH])
+    # the sums without the document itself
+    own = _own()
+    host_rate = ((F.col("__hs") - own) / 1e6 + mh * p0) / (F.col("__hn") - 1 + mh)
+    rate = ((F.col("__s") - own) / 1e6 + mp * host_rate) / (F.col("__n") - 1 + mp)
+    rate = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), rate))
+    out = joined.withColumns({"evidence": F.col(_EV), "site_rows": F.col("__n"), "site_rate": rate})
     shift = F.log(F.col("site_rate") / (1 - F.col("site_rate"))) - float(np.log(p0 / (1 - p0)))
     score = 1 / (1 + F.exp(-(F.col(_EV) + site_weight * shift)))
-    return joined.withColumns({"evidence": F.col(_EV), "score": score}).withColumn("kept", F.col("score") >= threshold).drop(_HOST, _PATH, _EV)
+    return out.withColumn("score", score).withColumn("kept", F.col("score") >= threshold).drop(_HOST, _PATH, _EV, "__n", "__s", "__hn", "__hs")
 
 
 def reject(docs: DataFrame, model: Evidence, text: str = "text", **how) -> DataFrame:
