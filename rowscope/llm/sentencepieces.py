@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 A merge-type (BPE) model is applied as its agenda would: of the adjacent pairs that join to a piece, the best score
-goes first, the leftmost among equals.  With dropout each candidate merge is skipped if a keyed hash of (seed, variant,
-word, place, piece) falls below the rate, so segmentations vary but the same key gives the same pieces anywhere.  Each
-occurrence of a word draws one of ``variants`` variants by a hash of the seed, its document and its place.
+goes first, the leftmost among equals.  With dropout each candidate merge is skipped if a keyed hash of (seed, text,
+occurrence, place, piece) falls below the rate.  Every occurrence of a word has draws of its own, and the same seed and
+text give the same pieces anywhere.
 
 A batch's words are merged together: symbols of all words lie in flat arrays, each round takes every word's best
-candidate, and words that are done leave.  Words of over ``LONG`` symbols go through a heap with the same rule.  No
+candidate, and words that are done leave.  Different words are merged once without dropout; an occurrence that skips
+none of its word's merges has the same pieces, as each merge was the best candidate then and still is, and only the
+others go through the merges again with their own draws.  Words of over ``LONG`` symbols go through a heap with the same rule.  No
 piece crosses from a letter to a space mark, so words are independent.  Characters without a piece, and the space mark
 itself where it stands in a text, become byte pieces, so decoding gives back every text exactly.
 
@@ -128,8 +130,11 @@ def _skips(key: np.ndarray, place: np.ndarray, piece: np.ndarray, rate: float) -
     return (h >> np.uint64(40)) < np.uint64(round(rate * (1 << 24)))
 
 
-def _merge_flat(v: Vocabulary, sym: np.ndarray, word: np.ndarray, place: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, word of each) after all merges; ``word`` rises, ``place`` is a symbol's first character in its word."""
+def _merge_flat(v: Vocabulary, sym: np.ndarray, word: np.ndarray, place: np.ndarray, key: np.ndarray, rate: float, done: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, word of each) after all merges; ``word`` rises, ``place`` is a symbol's first character in its word.
+
+    ``done`` gets the merges of each round as (word, place, piece).
+    """
     done_s, done_w = [], []
 
     def pairs(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +164,8 @@ def _merge_flat(v: Vocabulary, sym: np.ndarray, word: np.ndarray, place: np.ndar
         hit = np.flatnonzero(rank == np.repeat(best, size))
         hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]  # the leftmost of each word
         sym[hit] = got[hit]
+        if done is not None:
+            done.append((word[hit], place[hit], got[hit]))
         keep = np.ones(len(sym), bool)
         keep[hit + 1] = False
         at = hit - np.arange(len(hit))
@@ -171,7 +178,7 @@ def _merge_flat(v: Vocabulary, sym: np.ndarray, word: np.ndarray, place: np.ndar
 
 
 def _merge_long(v: Vocabulary, sym: list[int], key: int, rate: float) -> list[int]:
-    """The same rule for one long word, with a heap."""
+    """The same rule for one long word, with a heap: n log n."""
     n = len(sym)
     nxt, prv, sym = list(range(1, n + 1)), list(range(-1, n - 1)), list(sym)
     heap: list = []
@@ -207,7 +214,61 @@ def _merge_long(v: Vocabulary, sym: list[int], key: int, rate: float) -> list[in
     return out
 
 
-def encode(v: Vocabulary, arr: pa.Array, rate: float = 0.1, seed: int = 1, variants: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def _merged(v: Vocabulary, cps: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, rate: float, done: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, pieces before each word) of the words of ``cps`` that begin at ``begin``."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    word = np.repeat(np.arange(len(size)), size)
+    place = at - begin[word]
+    cp = cps[at]
+    sym = v.char[cp]
+    sym = np.where(sym >= 0, sym, -2 - cp.astype(np.int32))  # without a piece: kept apart until all merges are done
+    long = size > LONG
+    fine = ~long[word]
+    s, w = _merge_flat(v, sym[fine], word[fine], place[fine], key, rate, done)
+    if long.any():
+        ss, ww = [s], [w]
+        for i in np.flatnonzero(long):
+            a = ends[i] - size[i]
+            got = _merge_long(v, sym[a : ends[i]].tolist(), int(key[i]), rate)
+            ss.append(np.array(got, np.int32))
+            ww.append(np.full(len(got), i))
+        s, w = np.concatenate(ss), np.concatenate(ww)
+        order = np.argsort(w, kind="stable")
+        s, w = s[order], w[order]
+    if (s < 0).any():  # byte pieces of characters without a piece
+        c = np.where(s < 0, -2 - s, 0)
+        wide = np.where(s >= 0, 1, 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        lost = {int(x): list(chr(x).encode("utf-8")) for x in np.unique(c[s < 0])}
+        spread = np.repeat(s, wide)
+        first = np.cumsum(wide) - wide
+        for x, bs in lost.items():
+            i = first[s == -2 - x]
+            for d, bb in enumerate(bs):
+                spread[i + d] = v.byte[bb]
+        s, w = spread, np.repeat(w, wide)
+    return s, np.r_[0, np.cumsum(np.bincount(w, minlength=len(size)))]
+
+
+def _skipping(done: list, n: int, back: np.ndarray, key: np.ndarray, rate: float, block: int = 1 << 18) -> np.ndarray:
+    """Whether each occurrence, of word ``back``, skips one of its word's merges."""
+    word, place, piece = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(word, kind="stable")
+    place, piece = place[order], piece[order]
+    count = np.bincount(word, minlength=n)
+    head = np.cumsum(count) - count
+    out = np.zeros(len(back), bool)
+    for a in range(0, len(back), block):
+        own = back[a : a + block]
+        each = count[own]
+        first = np.cumsum(each) - each
+        of = np.repeat(np.arange(len(own)), each)
+        at = (head[own] - first)[of] + np.arange(len(of))
+        out[a + of[_skips(key[a : a + block][of], place[at], piece[at], rate)]] = True
+    return out
+
+
+def encode(v: Vocabulary, arr: pa.Array, rate: float = 0.1, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(pieces, offsets of each text)."""
     buf, off = raw(arr)
     n = len(off) - 1
@@ -228,54 +289,26 @@ def encode(v: Vocabulary, arr: pa.Array, rate: float = 0.1, seed: int = 1, varia
     begin = np.flatnonzero(new)
     size = np.diff(np.r_[begin, total])
     text_of = np.searchsorted(chars, begin, side="right") - 1
-    # a word's hash, its occurrence's variant, and one copy of each (word, variant)
+    # different words once, without dropout
     run = np.zeros(total + 1, np.uint64)
     np.cumsum(mix(cps.astype(np.uint64) + np.uint64(7)) * _powers(_BASE, total), dtype=np.uint64, out=run[1:])
     word_hash = mix((run[begin + size] - run[begin]) * _powers(_INV, total)[begin] + size.astype(np.uint64))
+    _, at, back = np.unique(word_hash, return_index=True, return_inverse=True)
+    done: list | None = [] if rate > 0 else None
+    s, first = _merged(v, cps, begin[at], size[at], word_hash[at], 0.0, done)
     if rate > 0:
         doc_hash = np.array([zlib.crc32(buf[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], np.uint64)
         salt = np.uint64(seed * _C2 % 2**64)
-        draw = mix(doc_hash[text_of] * np.uint64(_C1) + (begin - chars[text_of]).astype(np.uint64) + salt) % np.uint64(variants)
-        key = mix(word_hash + draw * np.uint64(_C2) + salt)
-    else:
-        key = word_hash
-    _, at, back = np.unique(key, return_index=True, return_inverse=True)
-    u_size, u_begin = size[at], begin[at]
-    sym_at = np.repeat(u_begin - (np.cumsum(u_size) - u_size), u_size) + np.arange(u_size.sum())
-    word = np.repeat(np.arange(len(at)), u_size)
-    place = sym_at - u_begin[word]
-    cp = cps[sym_at]
-    sym = v.char[cp]
-    sym = np.where(sym >= 0, sym, -2 - cp.astype(np.int32))  # without a piece: kept apart until all merges are done
-    long = u_size > LONG
-    fine = ~long[word]
-    s, w = _merge_flat(v, sym[fine], word[fine], place[fine], key[at], rate)
-    if long.any():
-        ss, ww = [s], [w]
-        for i in np.flatnonzero(long):
-            a = np.searchsorted(word, i)
-            got = _merge_long(v, sym[a : a + u_size[i]].tolist(), int(key[at[i]]), rate)
-            ss.append(np.array(got, np.int32))
-            ww.append(np.full(len(got), i))
-        s, w = np.concatenate(ss), np.concatenate(ww)
-        order = np.argsort(w, kind="stable")
-        s, w = s[order], w[order]
-    if (s < 0).any():  # byte pieces of characters without a piece
-        c = np.where(s < 0, -2 - s, 0)
-        wide = np.where(s >= 0, 1, 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        lost = {int(x): list(chr(x).encode("utf-8")) for x in np.unique(c[s < 0])}
-        spread = np.repeat(s, wide)
-        first = np.cumsum(wide) - wide
-        for x, bs in lost.items():
-            i = first[s == -2 - x]
-            for d, bb in enumerate(bs):
-                spread[i + d] = v.byte[bb]
-        s, w = spread, np.repeat(w, wide)
-    count = np.bincount(w, minlength=len(at))
-    head = np.cumsum(count) - count
+        key = mix(word_hash + mix(doc_hash[text_of] * np.uint64(_C1) + (begin - chars[text_of]).astype(np.uint64) + salt))
+        own = np.flatnonzero(_skipping(done, len(at), back, key, rate) | (size > LONG))
+        s2, first2 = _merged(v, cps, begin[own], size[own], key[own], rate)
+        back = back.copy()
+        back[own] = len(at) + np.arange(len(own))  # words of their own
+        s, first = np.concatenate([s, s2]), np.r_[first, first[-1] + first2[1:]]
+    count = np.diff(first)
     each = count[back]
     out_first = np.cumsum(each) - each
-    ids = s[np.repeat(head[back] - out_first, each) + np.arange(each.sum())]
+    ids = s[np.repeat(first[:-1][back] - out_first, each) + np.arange(each.sum())]
     words_before = np.searchsorted(text_of, np.arange(n + 1))
     return ids.astype(np.int32), np.r_[out_first, each.sum()][words_before]
 
@@ -294,7 +327,7 @@ def decode(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     return data, out
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rate: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rate: float = 0.1, seed: int = 1) -> DataFrame:
     """All columns but the text, with ``pieces n_pieces decoded_crc32 lossless``: each text is decoded again and compared."""
     new = [("pieces", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("decoded_crc32", T.LongType()), ("lossless", T.BooleanType())]
     names = {n for n, _ in new}
@@ -303,7 +336,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
 
     def run(batch: pa.RecordBatch) -> dict:
         arr = texts(batch, text)
-        ids, off = encode(vocabulary, arr, rate, seed, variants)
+        ids, off = encode(vocabulary, arr, rate, seed)
         data, ends = decode(vocabulary, ids, off)
         buf, was = raw(arr)
         back = [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
