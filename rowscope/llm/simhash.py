@@ -4,18 +4,18 @@ Two fingerprints that differ in at most 2r bits share a word at distance r or le
 fingerprint emits all variants within half the radius; equal variants meet after a shuffle.  All members of one
 variant's bucket lie within the full radius of each other, so a bucket of any size is linked by a chain of its members
 instead of all their pairs, no link between different fingerprints is lost, and each emitted edge is verified by its
-bit count.  A radius-4 ball has 2,081 variants, so a first round removes fingerprints that can have no partner: two
+bit count.  A radius-2 ball has 2,081 variants, so a first round removes fingerprints that have no partner: two
 fingerprints within 4 bits agree within 2 in one 32-bit half, hence share a variant within 1 of that half (66 rows a
-fingerprint, counted with map-side combine).  Components come from alternating large-star and small-star steps over
-tables in the shared folder.
+fingerprint).  In a bucket of a half all members are compared whole with each other, up to a size beyond which all go on
+to the full balls, so what accidental agreement of halves brings together at scale goes no further.  Components come
+from alternating large-star and small-star steps over tables in the shared folder.
 
 Equal texts share a fingerprint and collapse before anything is emitted, so groups of copies cost one row.  Null texts
 are empty; a text without words has fingerprint zero and is linked like any other.  A null doc_id takes part but is
 never the name of a component with other ids.  Repeated rows keep their row each.  Whole texts are read.
 
-``keep_one`` deduplicates by Jaccard similarity of five-word shingle sets (0.8 or more), exactly up to collisions of
-64-bit hashes.  Shingles have one order, rarest first, by counts of hashed classes: sets that are similar enough share
-one among the first fifth of both (prefix filter), and every pair that can be is verified on the sets themselves.
+``keep_one`` deduplicates by Jaccard similarity of five-word shingle sets (0.8 or more).  Ball hashing over fingerprints
+of the sets proposes links; each is verified on the sets, and ``similar`` finds the links that fingerprints miss.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import join_small, lower_az, map_text, raw, slices, stored, texts, words_of
-from rowscope.llm.stats import Hasher, mix
+from rowscope.llm import similar
+from rowscope.llm.common import dropped, lower_az, map_text, raw, stored, texts, words_of
+from rowscope.llm.components import components
+from rowscope.llm.stats import mix
 
 SEED = 42
 RADIUS = 4
-#: Classes of shingles by whose counts the shingles are ordered; any order gives the same links.
-COUNTERS = 1 << 17
 
 
 def _signature(hashes: np.ndarray) -> int:
@@ -98,6 +98,34 @@ def _runs(emitted: DataFrame) -> DataFrame:
     return emitted.repartition(n, "v").sortWithinPartitions("v", "f")
 
 
+#: Members of a run of equal variants that are compared each with each; of longer runs all are candidates.
+CROWD = 64
+
+
+def _close(batches, radius: int):
+    """Fingerprints with another of their run within ``radius`` bits, and all of a run of over CROWD, batch by batch."""
+    v0, f0 = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        v, f = np.r_[v0, b.column("v").to_numpy()], np.r_[f0, b.column("f").to_numpy()]
+        bits, hit = f.view(np.uint64), np.zeros(len(v), bool)
+        at = np.arange(len(v))
+        for s in range(1, CROWD + 1):
+            at = at[: np.searchsorted(at, len(v) - s)]
+            at = at[v[at] == v[at + s]]
+            if not len(at):
+                break
+            d = np.bitwise_count(bits[at] ^ bits[at + s])
+            near = at[(d > 0) & (d <= radius)]
+            hit[near] = hit[near + s] = True
+        if len(at):
+            change = np.zeros(len(v) + 1, np.int64)
+            np.add.at(change, at, 1)
+            np.add.at(change, at + CROWD + 1, -1)
+            hit |= np.cumsum(change[:-1]) > 0
+        yield np.unique(f[hit])
+        v0, f0 = v[-CROWD:], f[-CROWD:]
+
+
 def _neighbours(batches):
     """Pairs of different fingerprints that are next to each other in a run, batch by batch."""
     last = None
@@ -114,22 +142,27 @@ def _neighbours(batches):
 
 
 def candidates(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of distinct fingerprints ``f``, those that agree with another in a half within ``radius`` // 2 bits."""
+    """Of distinct fingerprints ``f``, all that have another within ``radius`` bits, and few that have none.
+
+    Those that have one agree with it in a half within ``radius`` // 2 bits, so they meet in a variant of that half.
+    """
     masks = _masks(ball(32, (radius // 2 + 1) // 2))
     low = F.col("f").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("f", 32).bitwiseOR(F.lit(1 << 32))  # a bit of its own tells the halves apart
     halves = fps.select("f", F.explode(F.array(low, high)).alias("h")).select("f", "h", F.explode(masks).alias("m"))
 
     def members(batches):
-        for pair in _neighbours(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(pair))], names=["f"])
+        for own in _close(batches, radius):
+            yield pa.RecordBatch.from_arrays([pa.array(own)], names=["f"])
 
     return _runs(halves.select(F.col("h").bitwiseXOR(F.col("m")).alias("v"), "f")).mapInArrow(members, "f long").distinct()
 
 
 def edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct verified links (a < b) that connect whatever fingerprints within ``radius`` of each other connect."""
-    emitted = fps.select("f", F.explode(_masks(ball(64, radius // 2))).alias("m")).select(F.col("f").bitwiseXOR(F.col("m")).alias("v"), "f")
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fps.repartition(n)  # each row becomes thousands
+    emitted = dealt.select("f", F.explode(_masks(ball(64, radius // 2))).alias("m")).select(F.col("f").bitwiseXOR(F.col("m")).alias("v"), "f")
 
     def chain(batches):
         for pair in _neighbours(batches):
@@ -139,224 +172,78 @@ def edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return linked.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of ``links`` (a, b): root is the least node of the component.
-
-    Alternates large-star and small-star steps until the edges stand still.  Least neighbours are combined on the map
-    side, and joins read stored tables, so AQE can split the rows of a hot node.
-    """
-    e = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # a node that is least itself keeps no edge of its own, its greater neighbours point to it
-        large = stored(large.distinct())
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u")
-        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == now:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
-    raise RuntimeError("components did not settle")
-
-
-def shingle_sets(arr: pa.Array, width: int = 5) -> list[np.ndarray]:
-    """The distinct hashes of each text's word shingles, ascending; a text of fewer words is one shingle."""
-    buf, off = raw(arr)
-    low = lower_az(buf)
-    s, e, doc = words_of(low, off)
-    n = len(off) - 1
-    if not len(s):
-        return [np.zeros(0, np.uint64)] * n
-    word = mix(Hasher(low).range(s, e) + (e - s).astype(np.uint64))
-    first = np.searchsorted(doc, np.arange(n + 1))
-    out = []
-    for i in range(n):
-        w = word[first[i] : first[i + 1]]
-        k = max(1, len(w) - width + 1)
-        h = w[:k].copy()
-        for j in range(1, min(width, len(w))):
-            h = mix(h * np.uint64(3) + w[j : j + k])
-        out.append(np.unique(h))
+def proposals(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The links of distinct fingerprints ``f``, stored."""
+    near = stored(candidates(fps, radius))
+    out = stored(edges(near, radius))
+    dropped(near)
     return out
 
 
-def _set_batches(batches, width: int):
-    """(f, shingle set) of the rows of (f, __t), slice by slice; a task gives each f once."""
-    seen: set[int] = set()
-    for whole in batches:
-        f, at = np.unique(whole.column("f").to_numpy(), return_index=True)
-        new = np.sort(at[[x not in seen for x in f.tolist()]]) if len(f) else at
-        seen.update(f.tolist())
-        for b in slices(whole.take(pa.array(new)), "__t"):
-            yield b.column("f").to_numpy(), shingle_sets(texts(b, "__t"), width)
-
-
-def shingle_counts(table: DataFrame, width: int) -> np.ndarray:
-    """In how many texts shingles of each of COUNTERS classes occur; a task sends one row a class."""
-
-    def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for _, sets in _set_batches(batches, width):
-            total += np.bincount((np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["b", "n"])
-
-    out = np.zeros(COUNTERS, np.int64)
-    for r in table.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        out[r["b"]] = r["n"]
-    return out
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _prefixes(table: DataFrame, counts: np.ndarray, similarity: float, width: int) -> DataFrame:
-    """(v, f, n, i): the rarest shingles v of each set of n shingles, at place i of the order by (count, hash)."""
-
-    def run(batches):
-        for fs, sets in _set_batches(batches, width):
-            v, f, n, at = [], [], [], []
-            for own, h in zip(fs.tolist(), sets, strict=True):
-                if not len(h):
-                    continue
-                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
-                order = np.lexsort((h, counts[(h % np.uint64(COUNTERS)).astype(np.int64)]))[:most]
-                v.append(h[order])
-                f.append(np.full(len(order), own))
-                n.append(np.full(len(order), len(h), np.int32))
-                at.append(np.arange(len(order), dtype=np.int32))
-            if v:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (f, n, at))], names=["v", "f", "n", "i"])
-
-    return table.mapInArrow(run, "v long, f long, n int, i int")
-
-
-def _may_reach(n, i, m, j, similarity: float):
-    """Whether sets of n and m shingles whose first common one is at places i and j can be similar enough (numbers, arrays or columns)."""
-    least = similarity * (n + m) - 1e-6
-    return ((n - i) * (1 + similarity) >= least) & ((m - j) * (1 + similarity) >= least)
-
-
-def _buckets(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``prefixes`` whose shingle another set has, each with its bucket's first set of about its size (l) and the set before it (p)."""
-    n_parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches):
-        held, joined, lead = None, False, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-            v, f, n, i = (t.column(c).to_numpy() for c in ("v", "f", "n", "i"))
-            once = np.r_[True, (v[1:] != v[:-1]) | (f[1:] != f[:-1])]  # tasks that hold equal texts send them each
-            v, f, n, i = v[once], f[once], n[once], i[once]
-            block = np.floor(np.log(n) / -np.log(similarity)).astype(np.int64)
-            same = v[1:] == v[:-1]
-            new = np.r_[True, ~same | (block[1:] != block[:-1])]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-            lf, ln, li = f[at], n[at], i[at]
-            if lead is not None and lead[:2] == (v[0], block[0]):
-                lf[at == 0], ln[at == 0], li[at == 0] = lead[2:]
-            lead = v[-1], block[-1], lf[-1], ln[-1], li[-1]
-            before = np.r_[0, np.arange(len(v) - 1)]
-            tied = np.r_[joined, same]
-            no_l = (lf == f) | ~_may_reach(n, i, ln, li, similarity)
-            no_p = ~np.r_[False, same] | (f[before] == f) | ~_may_reach(n, i, n[before], i[before], similarity)
-            keep = tied | np.r_[same, False]
-            keep[-1] = False  # the last row waits for the next one
-            if held is not None:  # the row that waited; its set before it was in the batch before
-                no_p[0] = no_p[0] & (held_p is None)
-            p = f[before].copy()
-            if held is not None and held_p is not None:
-                p[0] = held_p
-            out = [pa.array(v[keep]), pa.array(f[keep]), pa.array(n[keep]), pa.array(i[keep]), pa.array(lf[keep], mask=no_l[keep]), pa.array(p[keep], mask=no_p[keep])]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays(out, names=["v", "f", "n", "i", "l", "p"])
-            joined, held_p, held_l = bool(tied[-1]), None if no_p[-1] else int(p[-1]), None if no_l[-1] else int(lf[-1])
-            held = pa.RecordBatch.from_arrays([pa.array(x[-1:]) for x in (v, f, n, i)], schema=b.schema)
-        if held is not None and joined:
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([held_l], pa.int64()), pa.array([held_p], pa.int64())], names=["v", "f", "n", "i", "l", "p"])
-
-    return prefixes.repartition(n_parts, "v").sortWithinPartitions("v", "n", "f").mapInArrow(run, "v long, f long, n int, i int, l long, p long")
-
-
-def similar_links(table: DataFrame, similarity: float, width: int = 5) -> DataFrame:
-    """Links (a, b) between the distinct sets of (f, __t, __r: row), each verified by the exact Jaccard similarity.
-
-    Whatever pair reaches ``similarity`` shares a shingle among the rarest of both, so all pairs that meet there are
-    searched.  A first round tries a few partners of each set; what its links connect is a class, and pairs inside a
-    class add nothing, so the second round takes all pairs of a bucket that are of different classes.
-    """
-    one = stored(table.groupBy("f").agg(F.min("__r").alias("__r")))
-    met = stored(_buckets(_prefixes(table, shingle_counts(table, width), similarity, width), similarity))
-
-    def run(batches):
-        for fs, sets in _set_batches(batches, width):
-            off = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(fs), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))], names=["f", "s"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("f")).unionAll(pairs.select(F.col("b").alias("f"))).distinct()
-        rows = stored(used.join(one, "f").select("__r"))
-        sets = stored(join_small(table, rows, ["__r"], "left_semi", 1_000_000).mapInArrow(run, "f long, s array<long>"))
-        both = pairs.join(sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("f").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return stored(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"))
-
-    few = met.groupBy("f").agg(*[g(c).alias(f"{c}{k}") for c in ("l", "p") for k, g in enumerate((F.min, F.max))])
-    tried = few.select("f", F.explode(F.array("l0", "l1", "p0", "p1")).alias("g")).where("g is not null")
-    links = verified(stored(tried.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b")).distinct()))
-    known = stored(components(links)).withColumnsRenamed({"node": "f", "root": "c"})
-    classed = stored(met.select("v", "f", "n", "i").join(known, "f", "left").withColumn("c", F.coalesce("c", "f")))
-    several = classed.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
-    open_ = stored(classed.join(several, "v", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    reach = _may_reach(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), similarity)
-    met2 = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.f") < F.col("y.f")) & (F.col("x.c") != F.col("y.c")) & reach)
-    return links.unionAll(verified(stored(met2.select(F.col("x.f").alias("a"), F.col("y.f").alias("b")).distinct())))
-
-
-def _named(rows: DataFrame, key: str, links) -> DataFrame:
-    """``rows`` (key, __text, f) with the component of each; ``links`` finds links between distinct f."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = 4) -> DataFrame:
+    """(key, f, component_id) of each row; links are within ``radius`` bits."""
+    rows = stored(with_fingerprint(docs.select(key, F.col(text).alias("__t")), "__t", "f", width))
     fps = stored(rows.groupBy("f").agg(F.min(key).alias("least")))
-    parts = stored(components(links(fps)))
+    links = proposals(fps.select("f"), radius)
+    parts = stored(components(links))
+    dropped(links)
     named = stored(fps.join(parts.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f")))
-    names = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    return rows.join(stored(named.join(names, "root").select("f", "component_id")), "f")
-
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = stored(named.join(names, "root").select("f", "component_id"))
+    dropped(fps, parts, named)
+    return rows.join(ids, "f")
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = 4) -> DataFrame:
-    """(key, __text, f, component_id) of each row, __text being a hash of its text; links are within ``radius`` bits."""
-    lean = docs.select(key, F.col(text).alias("__t"), _text_hash(text).alias("__text"))
-    rows = stored(with_fingerprint(lean, "__t", "f", width))
-    return _named(rows, key, lambda fps: edges(stored(candidates(fps.select("f"), radius)), radius))
 
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = 4) -> DataFrame:
+    """(key, fingerprint, component_id): component_id is the smallest key reachable over links."""
+    return classes(docs, key, text, radius, width).select(key, F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Like ``classes``; links join texts whose shingle sets have at least ``similarity``, and f stands for a set."""
-    lean = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t"), _text_hash(text).alias("__text"))
-    schema = T.StructType([*lean.schema.fields, T.StructField("f", T.LongType())])
 
-    def run(batch: pa.RecordBatch) -> dict:
-        return {"f": np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in shingle_sets(texts(batch, "__t"), width)], np.uint64).view(np.int64)}
-
-    rows = stored(map_text(lean, "__t", run, schema).withColumn("__r", F.monotonically_increasing_id()))
-    return _named(rows.drop("__t", "__r"), key, lambda _: similar_links(rows.select("f", "__t", "__r"), similarity, width))
+def _similar_rows(docs: DataFrame, key: str, text: str, width: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """(__key, __text, f, c) of each row, __text being a hash of its text, f its set of shingles and c its class.
 
+    Links join sets whose similarity is ``similarity`` or more.  Ball hashing over the sets' fingerprints proposes links,
+    ``similar.similar_links`` verifies them and adds those that fingerprints miss.
+    """
+    lean = docs.select(F.col(key).alias("__key"), _text_hash(text).alias("__text"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    schema = T.StructType([*lean.schema.fields[:2], T.StructField("f", T.LongType()), T.StructField("s", T.LongType())])
 
-def _text_hash(text: str):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = similar.shingle_sets(texts(batch, "__t"), width)
+        marks = np.array([_signature(mix(h)) if len(h) else 0 for h in sets], np.uint64)
+        return {"f": np.array([similar.set_name(h) for h in sets], np.int64), "s": marks.view(np.int64)}
+
+    rows = stored(map_text(lean, "__t", run, schema))
+    least = rows.groupBy("f").agg(F.min(F.struct("__key", "__text")).alias("x"), F.min("s").alias("s"))
+    one = stored(least.select("f", "s", F.col("x.__key").alias("__key"), F.col("x.__text").alias("__text")))
+    # one set stands for each fingerprint; sets of one fingerprint are proposed as links with it
+    heads = stored(one.groupBy("s").agg(F.min("f").alias("h")))
+    near = proposals(heads.select(F.col("s").alias("f")), radius)
+    same = one.join(heads, "s").where("f <> h").select(F.col("f").alias("a"), F.col("h").alias("b"))
+    ends = near.join(heads.select(F.col("s").alias("a"), F.col("h").alias("ha")), "a").join(heads.select(F.col("s").alias("b"), F.col("h").alias("hb")), "b")
+    known = similar.similar_links(lean, one.select("f", "__key", "__text"), same.unionAll(ends.select("ha", "hb")), similarity, width)
+    out = stored(rows.drop("s").join(known, "f", "left").withColumn("c", F.coalesce("c", "f")))
+    dropped(rows, one, heads, near, known)
+    return out
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = 4) -> DataFrame:
-    """(key, fingerprint, component_id): component_id is the smallest key reachable over links."""
-    return classes(docs, key, text, radius, width).select(key, F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, component_id) of each row: the smallest key reachable over links of ``similarity`` or more."""
+    named = _similar_rows(docs, key, text, width, similarity)
+    least = named.groupBy("c").agg(F.min("__key").alias("component_id"))
+    return named.join(least, "c").select(F.col("__key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each class of similar texts, the one with the smallest (key, text hash); columns as they were."""
-    best = similar_classes(docs, key, text, width, similarity).groupBy("component_id").agg(F.min(F.struct(key, "__text")).alias("x"))
-    kept = stored(best.select(F.col("x." + key).alias("__key"), F.col("x.__text").alias("__text")))
+    named = _similar_rows(docs, key, text, width, similarity)
+    best = named.groupBy("c").agg(F.min(F.struct("__key", "__text")).alias("x"))
+    kept = stored(best.select("x.__key", "x.__text"))
+    again = named.join(kept, named["__key"].eqNullSafe(kept["__key"]) & (named["__text"] == kept["__text"]), "left_semi").count() > kept.count()
+    dropped(named)
     out = docs.withColumn("__hash", _text_hash(text)).join(kept, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__text")), "left_semi")
-    return out.dropDuplicates([key, "__hash"]).drop("__hash")  # of repeated rows one stays
+    return (out.dropDuplicates([key, "__hash"]) if again else out).drop("__hash")  # of repeated rows one stays
