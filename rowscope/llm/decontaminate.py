@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import map_text, raw, slices, stored, texts, words_of
+from rowscope.llm.common import dropped, map_text, raw, slices, stored, texts, words_of
 from rowscope.llm.stats import Hasher, mix
 
 BUCKETS = 1 << 16
-RANK, OVERSAMPLE = 48, 16
+RANK, OVERSAMPLE = 32, 8
 #: Parts in which tasks send the matrix of buckets.
 PARTS = 64
 BENCHMARK_WEIGHT = 3.0
@@ -67,24 +67,47 @@ def word_class(w: np.ndarray) -> np.ndarray:
     return (w & np.uint64(CLASSES - 1)).astype(np.int64)
 
 
-def document_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """In how many documents each bucket occurs, and of how many; a task sends one row a bucket."""
+def bucketed(docs: DataFrame, text: str) -> DataFrame:
+    """Stored (first, b): the buckets of the words of some texts, two bytes each, and the words before each text."""
 
     def run(batches):
-        total, n = np.zeros(BUCKETS + 1, np.int64), 0
         for whole in batches:
-            for b in slices(whole, text):
-                w, first = tokens(texts(b, text))
-                doc = np.repeat(np.arange(len(b)), np.diff(first))
-                total[:BUCKETS] += np.bincount(np.unique(doc << 16 | bucket(w)) & (BUCKETS - 1), minlength=BUCKETS)
-                total[BUCKETS] += len(b)
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["b", "n"])
+            for part in slices(whole, text, 1 << 20):
+                w, first = tokens(texts(part, text))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (first.astype(np.int64), bucket(w).astype(np.uint16))], names=["first", "b"])
 
-    out = np.zeros(BUCKETS + 1, np.int64)
-    for r in docs.select(text).mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        out[r["b"]] = r["n"]
-    return out[:BUCKETS], int(out[BUCKETS])
+    return stored(docs.select(text).mapInArrow(run, "first binary, b binary"))
+
+
+def _parts(batches):
+    """(words before each text, buckets) of each row of ``bucketed``."""
+    for batch in batches:
+        for first, b in zip(batch.column("first"), batch.column("b"), strict=True):
+            yield np.frombuffer(first.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.uint16).astype(np.int64)
+
+
+def counted(words: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents and places in which each bucket occurs, and the number of documents; a task sends one row a bucket."""
+
+    def run(batches):
+        docs, places, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0
+        for first, b in _parts(batches):
+            key = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 16 | b
+            key.sort()
+            new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+            docs += np.bincount(key[new] & (BUCKETS - 1), minlength=BUCKETS)
+            places += np.bincount(b, minlength=BUCKETS)
+            n += len(first) - 1
+        own = np.flatnonzero(places)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, -1]), pa.array(np.r_[docs[own], n]), pa.array(np.r_[places[own], 0])], names=["b", "d", "p"])
+
+    docs, places, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0
+    for r in words.mapInArrow(run, "b long, d long, p long").groupBy("b").agg(F.sum("d").alias("d"), F.sum("p").alias("p")).collect():
+        if r["b"] < 0:
+            n = int(r["d"])
+        else:
+            docs[r["b"]], places[r["b"]] = r["d"], r["p"]
+    return docs, places, n
 
 
 def inverse(counts: np.ndarray, n: int) -> np.ndarray:
@@ -92,89 +115,93 @@ def inverse(counts: np.ndarray, n: int) -> np.ndarray:
     return ((np.log((n + 1) / (counts + 1)) / np.log(n + 2)) ** 2).astype(np.float32)
 
 
-def _accumulate(g: np.ndarray, b: np.ndarray, first: np.ndarray, idf: np.ndarray, omega: np.ndarray, size: int) -> None:
-    """g += A' (A omega) over passages of ``size`` words."""
-    cut = np.unique(np.concatenate([np.arange(a, z, size) for a, z in zip(first[:-1], first[1:], strict=True)] or [np.zeros(0, np.int64)]))
-    if not len(cut):
-        return
-    x = idf[b, None] * omega[b]
-    y = np.add.reduceat(x, cut, axis=0)
-    passage = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(b)]))
-    y /= np.maximum(1e-6, np.sqrt(np.add.reduceat(idf[b] ** 2, cut)))[:, None]
-    order = np.argsort(b, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(b[order]) > 0])
-    g[b[order][starts]] += np.add.reduceat(idf[b[order], None] * y[passage[order]], starts, axis=0)
+def _passages(b: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The sums of ``table`` over each WIDTH words, the last filled up with nothing."""
+    n = -(-len(b) // WIDTH)
+    rows = np.r_[table, np.zeros((1, table.shape[1]), table.dtype)]
+    return rows.take(np.r_[b, np.full(n * WIDTH - len(b), BUCKETS)], axis=0).reshape(n, WIDTH, -1).sum(1)
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rank: int = RANK, more: int = OVERSAMPLE) -> np.ndarray:
-    """The projection of each bucket, weighted, centred and whitened over passages: an array of BUCKETS x rank.
+def _accumulate(g: np.ndarray, b: np.ndarray, idf: np.ndarray, weighted: np.ndarray) -> None:
+    """g += A' (A omega) over passages of WIDTH words; ``weighted`` is omega times the weights, g has a row an axis."""
+    if not len(b):
+        return
+    y = _passages(b, np.c_[weighted, idf**2])
+    y = np.ascontiguousarray((y[:, :-1] / np.maximum(1e-6, np.sqrt(y[:, -1:]))).T)
+    w = idf[b]
+    for axis, own in zip(g, y, strict=True):
+        axis += np.bincount(b, np.repeat(own, WIDTH)[: len(b)] * w, minlength=BUCKETS)
 
-    The first pass finds the range of A'A on a random Omega of ``rank`` + ``more`` columns, the second projects all
-    passages on it; the ``rank`` greatest axes of their covariance are the space.
-    """
-    idf = inverse(*document_counts(docs, text))
-    rows = docs.select(text)
-    wide = rank + more
-    omega = np.random.default_rng(11).standard_normal((BUCKETS, wide)).astype(np.float32)
 
-    def gather(batches):
-        g = np.zeros((BUCKETS, wide), np.float32)
-        for whole in batches:
-            for b in slices(whole, text, 1 << 20):
-                w, first = tokens(texts(b, text))
-                if len(w):
-                    _accumulate(g, bucket(w), first, idf, omega, WIDTH)
-        parts = g.reshape(PARTS, -1)
-        own = np.flatnonzero(np.abs(parts).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([parts[k].tobytes() for k in own], pa.binary())], names=["k", "g"])
+def _summed(arrays: DataFrame) -> np.ndarray:
+    """The sum of arrays (k: part, x: float32 bytes) that tasks send, part after part."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, x in zip(b.column("k").to_pylist(), b.column("g"), strict=True):
+            for k, x in zip(b.column("k").to_pylist(), b.column("x"), strict=True):
                 total[k] = total.get(k, 0) + np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["k", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["k", "x"])
+
+    got = arrays.repartition(PARTS, "k").mapInArrow(add, "k long, x binary").collect()
+    return np.concatenate([np.frombuffer(r["x"], np.float32) for r in sorted(got, key=lambda r: r["k"])] or [np.zeros(0, np.float32)])
+
+
+def _sent(total: np.ndarray):
+    cut = np.array_split(total.astype(np.float32).ravel(), PARTS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([x.tobytes() for x in cut], pa.binary())], names=["k", "x"])
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rank: int | None = None, more: int | None = None) -> np.ndarray:
+    """The projection of each bucket, weighted, centred and whitened over passages: an array of BUCKETS x rank.
 
-    def join(batches):
-        total = sum(np.frombuffer(x.as_buffer()) for b in batches for x in b.column("x"))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if np.ndim(total) else [], pa.binary())], names=["x"])
+    One pass finds the range of A'A on a random Omega of ``rank`` + ``more`` columns, the next projects all passages on
+    it; the ``rank`` greatest axes of their covariance are the space.  Passages are each WIDTH words of a task's texts.
+    """
+    rank, more = rank or RANK, OVERSAMPLE if more is None else more
+    words = bucketed(docs, text)
+    in_docs, places, n_docs = counted(words)
+    idf = inverse(in_docs, n_docs)
+    wide = rank + more
+    omega = idf[:, None] * np.random.default_rng(11).standard_normal((BUCKETS, wide)).astype(np.float32)
 
-    g = np.zeros((BUCKETS, wide), np.float32)
-    for r in rows.mapInArrow(gather, "k long, g binary").repartition(PARTS, "k").mapInArrow(add, "k long, g binary").collect():
-        g.reshape(PARTS, -1)[r["k"]] = np.frombuffer(r["g"], np.float32)
-    own = np.zeros((BUCKETS, wide), np.float32)
+    def gather(batches):
+        g = np.zeros((wide, BUCKETS))
+        for _, b in _parts(batches):
+            _accumulate(g, b, idf, omega)
+        yield from _sent(g)
+
+    g = _summed(words.mapInArrow(gather, "k long, x binary"))
+    g = g.reshape(wide, BUCKETS) if len(g) else np.zeros((wide, BUCKETS), np.float32)
+    own = np.zeros((wide, BUCKETS))
     for block in _blocks(benchmark, text, item):
         w, first = tokens(pa.array([t for _, t in block], pa.large_string()))
-        if len(w):
-            _accumulate(own, bucket(w), first, idf, omega, WIDTH)
-    g = g / max(1e-9, np.linalg.norm(g)) + BENCHMARK_WEIGHT * own / max(1e-9, np.linalg.norm(own))
-    q, _ = np.linalg.qr(g)
+        for a, z in zip(first[:-1], first[1:], strict=True):
+            _accumulate(own, bucket(w[a:z]), idf, omega)
+    g = g / max(1e-9, np.linalg.norm(g)) + (BENCHMARK_WEIGHT * own / max(1e-9, np.linalg.norm(own))).astype(np.float32)
+    q, _ = np.linalg.qr(g.T)
     table = (q * idf[:, None]).astype(np.float32)
 
     def moments(batches):
-        total, outer, words, passages = np.zeros(wide), np.zeros((wide, wide)), np.zeros(wide), [0, 0]
-        for whole in batches:
-            for b in slices(whole, text, 1 << 20):
-                w, _ = tokens(texts(b, text))
-                x = table[bucket(w)]
-                words += x.sum(0, dtype=np.float64)
-                v = x[: len(x) // WIDTH * WIDTH].reshape(-1, WIDTH, wide).sum(1, dtype=np.float64)
-                total += v.sum(0)
-                outer += v.T @ v
-                passages[0] += len(v)
-                passages[1] += len(w)
-        yield pa.RecordBatch.from_arrays([pa.array([np.r_[passages, words, total, outer.ravel()].astype(np.float64).tobytes()], pa.binary())], names=["x"])
-
-    got = np.zeros(2 + 2 * wide + wide * wide)
-    for r in rows.mapInArrow(moments, "x binary").repartition(PARTS).mapInArrow(join, "x binary").collect():
-        got += np.frombuffer(r["x"])
-    n, nw, words, total, outer = max(got[0], 1), max(got[1], 1), got[2 : 2 + wide], got[2 + wide : 2 + 2 * wide], got[2 + 2 * wide :].reshape(wide, wide)
-    mean = total / n
-    value, axes = np.linalg.eigh(outer / n - np.outer(mean, mean))
+        total, outer, n = np.zeros(wide), np.zeros((wide, wide)), 0
+        for _, b in _parts(batches):
+            v = _passages(b, table).astype(np.float64)
+            total += v.sum(0)
+            outer += v.T @ v
+            n += len(v)
+        yield from _sent(np.r_[n, total, outer.ravel()] / 1024)  # within the range of float32
+
+    got = _summed(words.mapInArrow(moments, "k long, x binary")).astype(np.float64)
+    dropped(words)
+    if not len(got) or not got[0]:
+        return np.ascontiguousarray(table[:, :rank])
+    total, outer = got[1 : 1 + wide] / got[0], got[1 + wide :].reshape(wide, wide) / got[0]
+    value, axes = np.linalg.eigh(outer - np.outer(total, total))
     value, axes = value[::-1][:rank], axes[:, ::-1][:, :rank]
-    if not len(value) or value[0] <= 0:
+    if value[0] <= 0:
         return np.ascontiguousarray(table[:, :rank])
-    return ((table - (words / nw).astype(np.float32)) @ (axes / np.sqrt(np.maximum(value, 1e-9 * value[0])))).astype(np.float32)
+    centre = (places @ table.astype(np.float64) / max(1, places.sum())).astype(np.float32)
+    return ((table - centre) @ (axes / np.sqrt(np.maximum(value, 1e-9 * value[0])))).astype(np.float32)
 
 
 def _blocks(benchmark: DataFrame, text: str, item: str):
