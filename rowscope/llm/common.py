@@ -17,10 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to Python; Spark's own limit is eight times this.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold batches of rows with long texts small, unless the session has a limit of its own."""
+    if spark.conf.get(_BATCH, None) in (None, str(64 << 20), f"{64 << 20}b"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +48,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; the shuffle files of the write go when it is done."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/rowscope-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
@@ -60,10 +71,6 @@ def dropped(*tables: DataFrame | None) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about ``limit`` bytes of ``column`` (one text at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
