@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowscope.functions.access import ORD, RECORD, Accessor, Value
+from rowscope.functions.literals import with_exact
 from rowscope.operators import codegen, sinks
 from rowscope.operators.edits import Edit, save_edits
 from rowscope.operators.profile import Column, Field, Profile, column_model, profile
@@ -120,10 +121,15 @@ class Explorer:
         try:
             specs = self._specs(handle, q)
             found = matching(self.source(handle).df, q.filter, q.search)
-            got = window(found, q.sort, q.offset, q.limit)
+            if q.sort is None and self.source(handle).in_order:
+                # rows come in the order of the source, so the scan ends with the page
+                got = found.offset(max(0, q.offset)).limit(max(0, q.limit))
+            else:
+                got = window(found, q.sort, q.offset, q.limit)
+            got, sources = with_exact(got, [s.path for s in specs])
             at = Accessor(got)
             names = [s.alias or leaf(s.path) for s in specs]
-            rows = got.select(ORD, *[cell(s, at).alias(f"c{i}") for i, s in enumerate(specs)]).collect()
+            rows = got.select(ORD, *[cell(s, at, source=x).alias(f"c{i}") for i, (s, x) in enumerate(zip(specs, sources, strict=True))]).collect()
             total = found.count() if want_total else -1
         finally:
             if request:
@@ -147,15 +153,26 @@ class Explorer:
                 raise IndexError(ordinal)
             return None, False
         got = got.first()
-        r = row.select(sinks.json_value(Value(got.col, got.type)).alias("j"), got.present.alias("p")).first()
+        row, (text,) = with_exact(row, [path])
+        r = row.select(sinks.json_value(Value(got.col, got.type), text).alias("j"), got.present.alias("p")).first()
         if r is None:
             raise IndexError(ordinal)
         return (r["j"], True) if r["p"] else (None, False)
 
     def export(self, handle: str, q: Query, target: str, format: str, progress=None) -> sinks.Exported:
         """All matching rows in the order of the source; the sort and the window do not apply."""
-        source = self.source(handle)
-        return sinks.export(matching(source.df, q.filter, q.search), self._specs(handle, q), target, format, source.path, progress)
+        source, specs = self.source(handle), self._specs(handle, q)
+        return sinks.export(matching(source.df, q.filter, q.search), specs, target, format, source.path, progress, self._kinds(handle, specs))
+
+    def _kinds(self, handle: str, specs: list[ColumnSpec]) -> dict[str, str]:
+        """Column types of the paths: what their values are, ``mixed`` where they drift."""
+        known = {c.path: c.type for c in self.columns(handle)}
+        for s in specs:
+            f = self.column_stats(handle, s.path)
+            if s.path not in known and f is not None:
+                own = {k for k, n in f.kinds.items() if n and k != "null"}
+                known[s.path] = own.pop() if len(own) == 1 else "float" if own == {"int", "float"} else "mixed"
+        return known
 
     def save_edits(self, handle: str, edits: list[Edit], target: str) -> tuple[int, int]:
         return save_edits(self.source(handle), edits, target, not target.endswith(".json"))

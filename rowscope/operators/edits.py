@@ -6,10 +6,12 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowscope.functions.access import ORD, RECORD
+from rowscope.functions.literals import dumps, loads
 from rowscope.operators.sinks import check_target, replacing
 from rowscope.paths import Seg, parse
 from rowscope.sources.readers import Source
@@ -22,31 +24,6 @@ class Edit:
     value: Any
 
 
-class _Raw(float):
-    def __new__(cls, text: str):
-        self = super().__new__(cls, text)
-        self.text = text
-        return self
-
-    def __repr__(self) -> str:
-        return self.text
-
-
-def loads(text: str) -> Any:
-    """JSON with numbers that remember their text."""
-    return json.JSONDecoder(parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw).decode(text)
-
-
-def dumps(x: Any) -> str:
-    if isinstance(x, _Raw):
-        return x.text
-    if isinstance(x, dict):
-        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + dumps(v) for k, v in x.items()) + "}"
-    if isinstance(x, list):
-        return "[" + ",".join(map(dumps, x)) + "]"
-    return json.dumps(x, ensure_ascii=False)
-
-
 def put(record: Any, segs: tuple[Seg, ...], value: Any) -> bool:
     """Set a value, making parents that are absent; False for array elements and below scalars."""
     if not segs or any(s.each for s in segs) or not isinstance(record, dict):
@@ -63,22 +40,25 @@ def put(record: Any, segs: tuple[Seg, ...], value: Any) -> bool:
 
 
 def edited(source: Source, edits: list[Edit]) -> DataFrame:
-    """(_ord, text, unapplied): each record's text with its edits."""
+    """(_ord, text, unapplied): each record's text with its edits; records without edits keep theirs and meet no Python."""
     spark = source.df.sparkSession
     base = source.df.select(ORD, (F.col("_raw") if "_raw" in source.df.columns else F.to_json(RECORD)).alias("text"))
     table = spark.createDataFrame([(e.ordinal, e.path, json.dumps(e.value)) for e in edits], f"{ORD} long, path string, value string")
     # edits are typed by hand and passed as a list, which bounds what is broadcast
     lists = table.groupBy(ORD).agg(F.collect_list(F.struct("path", "value")).alias("edits"))
-    joined = base.join(F.broadcast(lists), ORD, "left")
-
-    @F.udf("struct<text:string,unapplied:int>")
-    def apply(text: str, own: list) -> tuple[str, int]:
-        record = loads(text)
-        bad = sum(not put(record, parse(e["path"]), json.loads(e["value"])) for e in own)
-        return dumps(record), bad
 
-    done = F.when(F.col("edits").isNotNull(), apply("text", "edits"))
-    return joined.select(ORD, "text", done.alias("d")).select(ORD, F.coalesce("d.text", "text").alias("text"), F.coalesce("d.unapplied", F.lit(0)).alias("unapplied"))
+    def apply(batches):
+        for b in batches:
+            texts, bad = [], []
+            for text, own in zip(b.column("text").to_pylist(), b.column("edits").to_pylist(), strict=True):
+                record = loads(text)
+                bad.append(sum(not put(record, parse(e["path"]), json.loads(e["value"])) for e in own))
+                texts.append(dumps(record))
+            yield pa.RecordBatch.from_arrays([b.column(ORD), pa.array(texts, pa.string()), pa.array(bad, pa.int32())], names=[ORD, "text", "unapplied"])
+
+    done = base.join(F.broadcast(lists), ORD).mapInArrow(apply, f"{ORD} long, text string, unapplied int")
+    rest = base.join(F.broadcast(lists.select(ORD)), ORD, "left_anti")
+    return rest.select(ORD, "text", F.lit(0).alias("unapplied")).unionAll(done)
 
 
 def save_edits(source: Source, edits: list[Edit], target: str, lines: bool = True) -> tuple[int, int]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rowscope.functions.access import ORD, Accessor, Value
 from rowscope.functions.kinds import kind_of, number_text
+from rowscope.functions.literals import with_exact
 from rowscope.paths import leaf
 from rowscope.plans.projection import ColumnSpec, check_names
 
@@ -64,10 +65,10 @@ class replacing:
             os.unlink(self.temp)
 
 
-def json_value(v: Value) -> Column:
-    """JSON text of a value; numbers as they are written, what is not finite as null."""
+def json_value(v: Value, source: Column | None = None) -> Column:
+    """JSON text of a value; numbers as they are written, what is not finite as null.  ``source``: its text, where it is kept."""
     if v.dynamic:
-        return F.to_json(v.col)
+        return F.coalesce(source, F.to_json(v.col)) if source is not None else F.to_json(v.col)
     k = kind_of(v.type)
     if k in ("int", "float"):
         text = number_text(v.col, v.type)
@@ -75,15 +76,15 @@ def json_value(v: Value) -> Column:
     return F.when(v.col.isNull(), "null").otherwise(v.json() if k != "string" else F.to_json(F.array(v.string())).substr(F.lit(2), F.length(F.to_json(F.array(v.string()))) - 2))
 
 
-def json_line(specs: list[ColumnSpec], at: Accessor) -> Column:
+def json_line(specs: list[ColumnSpec], at: Accessor, sources: list[Column | None] | None = None) -> Column:
     parts = []
-    for s in specs:
+    for s, source in zip(specs, sources or [None] * len(specs), strict=True):
         got = at.at(s.path)
         if got is None:
             continue
         got = got.first()
         quoted = F.lit(_json_string(s.path) + ":")
-        parts.append(F.when(got.present, F.concat(quoted, json_value(Value(got.col, got.type)))))
+        parts.append(F.when(got.present, F.concat(quoted, json_value(Value(got.col, got.type), source))))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts) if parts else F.lit(""), F.lit("}"))
 
 
@@ -91,22 +92,23 @@ def _json_string(x: str) -> str:
     return json.dumps(x, ensure_ascii=False)
 
 
-def text_value(v: Value) -> Column:
+def text_value(v: Value, source: Column | None = None) -> Column:
     """A CSV cell: exact numbers, compact JSON for containers, empty for null and missing."""
     if v.dynamic:
         k = v.kind()
-        return F.when(k == "string", v.string()).when(v.null(), F.lit("")).otherwise(F.to_json(v.col))
+        return F.when(k == "string", v.string()).when(v.null(), F.lit("")).otherwise(json_value(v, source))
     k = kind_of(v.type)
     text = number_text(v.col, v.type) if k in ("int", "float") else v.string() if k in ("string", "bool") else v.json()
     return F.coalesce(text, F.lit(""))
 
 
-def export(df: DataFrame, specs: list[ColumnSpec], target: str, format: str, source: str | None = None, progress: Callable[[int], None] | None = None) -> Exported:
-    """Write the rows of ``df``, which has ``_ord``, to one file."""
+def export(df: DataFrame, specs: list[ColumnSpec], target: str, format: str, source: str | None = None, progress: Callable[[int], None] | None = None, kinds: dict[str, str] | None = None) -> Exported:
+    """Write the rows of ``df``, which has ``_ord``, to one file.  ``kinds``: column types of paths whose values have no schema."""
     if format not in FORMATS:
         raise ValueError(f"unknown format {format!r}")
     check_target(target, source)
     check_names([s.path for s in specs] if format != "parquet" else [s.alias or leaf(s.path) for s in specs])
+    df, sources = with_exact(df, [s.path for s in specs])
     at = Accessor(df)
     done = 0
 
@@ -119,10 +121,10 @@ def export(df: DataFrame, specs: list[ColumnSpec], target: str, format: str, sou
             yield r
 
     if format == "parquet":
-        return _parquet(df, specs, at, target, progress)
+        return _parquet(df, specs, at, target, progress, kinds or {}, sources)
     with replacing(target) as out:
         if format in ("json", "ndjson"):
-            rows = df.select(ORD, json_line(specs, at).alias("j")).orderBy(ORD).toLocalIterator()
+            rows = df.select(ORD, json_line(specs, at, sources).alias("j")).orderBy(ORD).toLocalIterator()
             first = True
             out.write(b"[" if format == "json" else b"")
             for r in count(rows):
@@ -130,7 +132,8 @@ def export(df: DataFrame, specs: list[ColumnSpec], target: str, format: str, sou
                 first = False
             out.write((b"]\n" if first else b"\n]\n") if format == "json" else b"")
         else:
-            cells = [text_value(Value((g := at.at(s.path).first()).col, g.type)).alias(f"c{i}") if at.at(s.path) is not None else F.lit("").alias(f"c{i}") for i, s in enumerate(specs)]
+            found = [got and got.first() for got in (at.at(s.path) for s in specs)]
+            cells = [(text_value(Value(g.col, g.type), x) if g else F.lit("")).alias(f"c{i}") for i, (g, x) in enumerate(zip(found, sources, strict=True))]
             text = io.TextIOWrapper(out, encoding="utf-8", newline="", write_through=True)
             w = _csv.writer(text, delimiter="\t" if format == "tsv" else ",", lineterminator="\n")
             w.writerow([s.path for s in specs])
@@ -141,30 +144,39 @@ def export(df: DataFrame, specs: list[ColumnSpec], target: str, format: str, sou
     return Exported(target, done)
 
 
-def _parquet_columns(specs: list[ColumnSpec], at: Accessor) -> tuple[list[Column], list[Column]]:
+# The types of exported columns by kind; others are text.
+_TYPES = {"int": "bigint", "float": "double", "bool": "boolean"}
+
+
+def _parquet_columns(specs: list[ColumnSpec], at: Accessor, kinds: dict[str, str], sources: list[Column | None]) -> tuple[list[Column], list[Column]]:
     """Columns cast to bigint, double, boolean or text, and whether each lost its value."""
     cols, lost = [], []
-    for i, s in enumerate(specs):
+    for i, (s, source) in enumerate(zip(specs, sources, strict=True)):
         got = at.at(s.path)
         if got is None:
             cols.append(F.lit(None).cast("string").alias(f"c{i}"))
             continue
         got = got.first()
         v = Value(got.col, got.type)
-        k = kind_of(v.type)
-        c = {"int": v.col.try_cast("bigint"), "float": v.col.cast("double"), "bool": v.col}.get(k, F.when(v.col.isNotNull(), text_value(v)) if not v.dynamic else F.when(~v.null(), text_value(v)))
-        cols.append(c.alias(f"c{i}"))
-        if k == "int":
+        k = kinds.get(s.path, "string") if v.dynamic else kind_of(v.type)
+        if k not in _TYPES:
+            c = F.when(~v.null() if v.dynamic else v.col.isNotNull(), text_value(v, source))
+        elif v.dynamic:  # a value of another kind does not fit, an int fits a column of floats
+            c = F.when(v.of(*(("int", "float") if k == "float" else (k,))), F.try_variant_get(v.col, "$", _TYPES[k]))
+            lost.append(F.when(~v.null() & c.isNull(), i))
+        else:
+            c = v.col.try_cast(_TYPES[k])
             lost.append(F.when(v.col.isNotNull() & c.isNull(), i))
+        cols.append(c.alias(f"c{i}"))
     return cols, lost
 
 
-def _parquet(df: DataFrame, specs: list[ColumnSpec], at: Accessor, target: str, progress) -> Exported:
-    cols, lost = _parquet_columns(specs, at)
+def _parquet(df: DataFrame, specs: list[ColumnSpec], at: Accessor, target: str, progress, kinds: dict[str, str], sources: list[Column | None]) -> Exported:
+    cols, lost = _parquet_columns(specs, at, kinds, sources)
     names = [s.alias or leaf(s.path) for s in specs]
     typed = df.select(ORD, *cols, (F.array_compact(F.array(*lost)) if lost else F.array().cast("array<int>")).alias("_lost")).orderBy(ORD)
-    kinds = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-    schema = pa.schema([pa.field(n, kinds.get(typed.schema[f"c{i}"].dataType.simpleString(), pa.string())) for i, n in enumerate(names)])
+    arrow = {"bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([pa.field(n, arrow.get(typed.schema[f"c{i}"].dataType.simpleString(), pa.string())) for i, n in enumerate(names)])
     bad: dict[int, int] = {}
     done = 0
     with replacing(target) as out, pq.ParquetWriter(out, schema) as w:
@@ -188,8 +200,8 @@ def _parquet(df: DataFrame, specs: list[ColumnSpec], at: Accessor, target: str,
     return Exported(target, done, [f"{names[i]}: {n} values do not fit the column and were left null" for i, n in sorted(bad.items())])
 
 
-def write_dataset(df: DataFrame, specs: list[ColumnSpec], folder: str) -> None:
+def write_dataset(df: DataFrame, specs: list[ColumnSpec], folder: str, kinds: dict[str, str] | None = None) -> None:
     """The same columns as a Parquet folder, written in parallel."""
-    at = Accessor(df)
-    cols, _ = _parquet_columns(specs, at)
+    df, sources = with_exact(df, [s.path for s in specs])
+    cols, _ = _parquet_columns(specs, Accessor(df), kinds or {}, sources)
     df.select(*[c.alias(s.alias or leaf(s.path)) for c, s in zip(cols, specs, strict=True)]).write.mode("errorifexists").parquet(folder)

@@ -50,26 +50,43 @@ def project(spec: ColumnSpec, at: Accessor) -> Column:
     return got.first().col
 
 
-def cell(spec: ColumnSpec, at: Accessor, preview: int = 200) -> Column:
-    """struct(kind, text, count): kind ``missing`` where the path reaches nothing, text cut to ``preview`` characters."""
+def cell(spec: ColumnSpec, at: Accessor, preview: int = 200, source: Column | None = None) -> Column:
+    """struct(kind, text, count, more): kind ``missing`` where the path reaches nothing, text cut to ``preview`` characters.
+
+    ``source``: the value's own text, where it is kept.
+    """
     got = at.at(spec.path)
     if got is None:
-        return F.struct(F.lit("missing").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("count"))
+        return F.struct(F.lit("missing").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("count"), F.lit(False).alias("more"))
     got = got.first()
     v = Value(got.col, got.type)
     if v.dynamic:
         kind = F.coalesce(v.kind(), F.lit("missing"))
-        text = F.when(kind == "string", v.string()).when(~kind.isin("missing", "null"), F.to_json(v.col))
-        count = F.when(kind == "array", F.size(F.try_variant_get(v.col, "$", "array<variant>")))
+        whole = F.coalesce(source, F.to_json(v.col)) if source is not None else F.to_json(v.col)
+        text = F.when(kind == "string", v.string()).when(~kind.isin("missing", "null"), whole)
+        count = F.when(kind == "array", F.size(F.try_variant_get(v.col, "$", "array<variant>"))).when(kind == "object", F.size(F.try_variant_get(v.col, "$", "map<string,variant>")))
     else:
         kind = F.when(~got.present, "missing").otherwise(v.kind())
         k = kind_of(v.type)
         text = F.when(v.col.isNotNull(), v.string() if k == "string" else v.json())
         count = F.when(v.col.isNotNull(), F.size(v.col)) if k == "array" else F.lit(None).cast("int")
-    return F.struct(kind.alias("kind"), F.substring(text, 1, preview).alias("text"), count.alias("count"))
+    more = F.coalesce(F.length(text) > preview, F.lit(False))
+    return F.struct(kind.alias("kind"), F.substring(text, 1, preview).alias("text"), count.alias("count"), more.alias("more"))
 
 
 def move(specs: list[ColumnSpec], at: int, to: int) -> list[ColumnSpec]:
     out = list(specs)
     out.insert(to, out.pop(at))
     return out
+
+
+def rename(specs: list[ColumnSpec], at: int, name: str) -> list[ColumnSpec]:
+    """The same columns with one renamed; a name may be taken once only."""
+    out = [ColumnSpec(s.path, name) if i == at else s for i, s in enumerate(specs)]
+    check_names([s.alias or leaf(s.path) for s in out])
+    return out
+
+
+def hide(specs: list[ColumnSpec], at: int) -> list[ColumnSpec]:
+    """The columns without one; the last column stays."""
+    return [s for i, s in enumerate(specs) if i != at] or list(specs)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowscope.explorer import matching, projected, window
-from rowscope.functions.access import ORD, Accessor, Value
+from rowscope.explorer import Explorer, matching, projected, window
+from rowscope.explorer import Query as ExplorerQuery
+from rowscope.functions.access import ORD, Accessor
 from rowscope.functions.kinds import number_text
-from rowscope.operators import codegen, diff, profile, schema, sinks, visual
-from rowscope.plans.filters import Condition, Filter, condition
+from rowscope.operators import codegen, diff, profile, schema, visual
+from rowscope.plans.filters import Condition, Filter
+from rowscope.plans.ordering import sort_keys
 from rowscope.plans.projection import ColumnSpec, Transform
-from rowscope.sources.readers import Source, parquet
+from rowscope.sources.readers import Source, numbered, parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,7 +109,7 @@ for _name, _f, _where in [
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    turn = F.struct("turn", "role", F.octet_length("text").alias("size"))
+    turn = F.struct("turn", "role", "text", F.octet_length("text").alias("size"))
     return c.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).withColumn(ORD, F.col("conv_id"))
 
 
@@ -145,7 +147,7 @@ for _name, _f, _where in [
 add("search_part", lambda s, d: projected(matching(load(s, d, "part"), Filter(), "BRAND#1"), [ColumnSpec("p_partkey")]).drop(ORD), "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(chr(1), p_partkey, p_name, p_brand, p_type, p_size)), 'brand#1')")
 add("search_documents", lambda s, d: projected(matching(load(s, d, "documents"), Filter(), "general public license"), [ColumnSpec("doc_id")]).drop(ORD), "SELECT doc_id FROM documents WHERE contains(lower(text), 'general public license')")
 add("search_filtered", lambda s, d: projected(matching(load(s, d, "customer"), _one("c_nationkey", "lt", 5), "building"), [ColumnSpec("c_custkey")]).drop(ORD), "SELECT c_custkey FROM customer WHERE c_nationkey < 5 AND contains(lower(c_mktsegment), 'building')")
-add("search_nested", lambda s, d: matching(_turns(s, d), Filter(), "ASSIST").select("conv_id"), "SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(role), 'assist')")
+add("search_nested", lambda s, d: matching(_turns(s, d), Filter(), "ASSIST").select("conv_id"), "SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(role), 'assist') OR contains(lower(text), 'assist')")
 add("search_variant", lambda s, d: _ids(matching(_events(s, d), Filter(), "purch")), "SELECT event_id FROM events WHERE contains(lower(event_type), 'purch')")
 
 # sort, window, projection, cells ---------------------------------------------------------------------------------
@@ -167,7 +169,14 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("sort_desc_ties", _ties, "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 200 OFFSET 10")
-add("sort_nulls_first", lambda s, d: window(labelled(s, d), ("quality", False), 0, 700).select("doc_id", "quality"), f"SELECT doc_id, quality FROM {_LABELLED} ORDER BY quality NULLS FIRST, doc_id LIMIT 700")
+
+
+def _ranked(df: DataFrame, sort: tuple[str, bool]) -> DataFrame:
+    """The whole sorted table, each row with its place in the order."""
+    return numbered(df.orderBy(*sort_keys(*sort, Accessor(df))).withColumnRenamed(ORD, "key")).withColumnRenamed(ORD, "place")
+
+
+add("sort_nulls_first", lambda s, d: _ranked(labelled(s, d), ("quality", False)).select("doc_id", "quality", "place"), f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality NULLS FIRST, doc_id) - 1 AS place FROM {_LABELLED}")
 add("sort_filtered", lambda s, d: projected(window(matching(load(s, d, "events"), _one("event_type", "eq", "click")), ("event_id", False), 20, 30), [ColumnSpec("event_id")]).drop(ORD), "SELECT event_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 30 OFFSET 20")
 
 
@@ -177,10 +186,10 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 5
     text = F.when(k == 0, "null").when(k == 1, "true").when(k == 2, F.col("c_custkey").cast("string")).when(k == 3, F.concat(F.lit('"'), "c_name", F.lit('"'))).otherwise("[1]")
     df = c.select(F.parse_json(F.concat(F.lit('{"id":'), "c_custkey", F.lit(',"v":'), text, F.lit("}"))).alias("_rec"), F.col("c_custkey").alias(ORD))
-    return window(df, ("v", False), 0, 1_000_000_000).select(F.col(ORD).alias("c_custkey"), (F.col(ORD) % 5).alias("kind")).limit(700)
+    return _ranked(df, ("v", False)).select(F.col("key").alias("c_custkey"), (F.col("key") % 5).alias("kind"), "place")
 
 
-add("sort_mixed_kinds", _mixed, "SELECT c_custkey, c_custkey % 5 AS kind FROM customer ORDER BY c_custkey % 5, CASE WHEN c_custkey % 5 = 2 THEN c_custkey END, CASE WHEN c_custkey % 5 = 3 THEN c_name END, c_custkey LIMIT 700")
+add("sort_mixed_kinds", _mixed, "SELECT c_custkey, c_custkey % 5 AS kind, row_number() OVER (ORDER BY c_custkey % 5, CASE WHEN c_custkey % 5 = 2 THEN c_custkey END, CASE WHEN c_custkey % 5 = 3 THEN c_name END, c_custkey) - 1 AS place FROM customer")
 add("window_source_order", lambda s, d: projected(window(spark_keyed(s, d), None, 100, 50), [ColumnSpec("o_orderkey")]).drop(ORD), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 
 
@@ -204,12 +213,14 @@ _select("sel_flatten_noop", "region", Transform(flatten_objects=True), "SELECT r
 
 
 def _cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn(ORD, F.col("n_nationkey").cast("long"))
-    got = Accessor(df).at("n_name")
-    return df.where(F.col(ORD) == 7).select(sinks.json_value(Value(got.col, got.type)).alias("cell"), got.present.alias("found"))
+    """Every cell of the table, one by one, through the session interface."""
+    e = Explorer(spark)
+    h = e.open(f"{sf_dir}/region.parquet")
+    got = [(i, c.path, *e.get_cell(h, i, c.path)) for i in range(e.profile(h).records) for c in e.columns(h)]
+    return spark.createDataFrame(got, "row long, path string, cell string, found boolean")
 
 
-add("getcell", _cell, "SELECT '\"' || n_name || '\"' AS cell, true AS found FROM nation WHERE n_nationkey = 7")
+add("getcell", _cell, "SELECT r_regionkey::BIGINT AS row, path, CASE path WHEN 'r_name' THEN '\"' || r_name || '\"' ELSE r_regionkey::VARCHAR END AS cell, true AS found FROM region, (VALUES ('r_regionkey'), ('r_name')) t(path)")
 add("number_text", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", number_text(F.col("p_retailprice"), s.read.parquet(f"{d}/part.parquet").schema["p_retailprice"].dataType).alias("price")), "SELECT p_partkey, regexp_replace(p_retailprice::VARCHAR, '\\.0$', '') AS price FROM part")
 
 # profile ---------------------------------------------------------------------------------------------------------
@@ -219,8 +230,18 @@ def _source(spark: SparkSession, sf_dir: str, table: str) -> Source:
     return Source(load(spark, sf_dir, table), "parquet", table)
 
 
-def _stats(cols: list[str], table: str = "lineitem") -> Query:
-    return lambda s, d: profile.statistics(profile.observations(load(s, d, table)), False).select("path", *cols)
+def _told(read: Callable[[SparkSession, str], DataFrame], schema: str, tell: Callable[[profile.Field], tuple | None], approximate: bool = False) -> Query:
+    """Rows of a profile's fields: ``tell`` gives the columns after the path, or None for no row."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = profile.profile(Source(read(spark, sf_dir), "parquet", ""), approximate)
+        return spark.createDataFrame([(f.path, *got) for f in p.fields if (got := tell(f)) is not None], f"path string, {schema}")
+
+    return run
+
+
+def _of(table: str) -> Query:
+    return lambda s, d: load(s, d, table)
 
 
 _COLS = {
@@ -234,35 +255,52 @@ def _union(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-add("prof_presence", _stats(["presence", "observations"]), _union([f"SELECT '{c}' AS path, count(*) AS presence, count(*) AS observations FROM lineitem" for c in _COLS["lineitem"]]))
+add("prof_presence", _told(_of("lineitem"), "presence long, observations long", lambda f: (f.presence, f.observations)), _union([f"SELECT '{c}' AS path, count(*) AS presence, count(*) AS observations FROM lineitem" for c in _COLS["lineitem"]]))
 add(
-    "prof_types", _stats(["n_int", "n_float", "n_string", "n_null"]),
+    "prof_types", _told(_of("lineitem"), "n_int long, n_float long, n_string long, n_null long", lambda f: tuple(f.kinds.get(k, 0) for k in ("int", "float", "string", "null"))),
     _union([f"SELECT '{c}' AS path, {'count(*)' if c in _NUMS[:4] else '0::BIGINT'} AS n_int, {'count(*)' if c in _NUMS[4:] else '0::BIGINT'} AS n_float, {'count(*)' if c not in _NUMS else '0::BIGINT'} AS n_string, 0::BIGINT AS n_null FROM lineitem" for c in _COLS["lineitem"]]),
 )
-add("prof_minmax", lambda s, d: _stats(["min", "max"])(s, d).where("min is not null"), _union([f"SELECT '{c}' AS path, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem" for c in _NUMS]))
-add("prof_strlen", lambda s, d: _stats(["min_len", "max_len"], "customer")(s, d).where("min_len is not null"), _union([f"SELECT '{c}' AS path, min(octet_length(encode({c})))::INTEGER AS min_len, max(octet_length(encode({c})))::INTEGER AS max_len FROM customer" for c in ("c_name", "c_mktsegment")]))
-add("prof_nulls", lambda s, d: profile.statistics(profile.observations(labelled(s, d)), False).select("path", "observations", "n_null"), _union([f"SELECT '{c}' AS path, count(*) AS observations, count(*) - count({c}) AS n_null FROM {_LABELLED}" for c in ("doc_id", "quality", "toxic")]))
-add("prof_bool_distinct", lambda s, d: profile.observations(labelled(s, d)).groupBy("path").agg(F.count_distinct("key").alias("n")), _union([f"SELECT '{c}' AS path, {f'count(DISTINCT {c})' if c != 'toxic' else 'count(DISTINCT NULL)'} AS n FROM {_LABELLED}" for c in ("doc_id", "quality", "toxic")]))
-add("prof_distinct", lambda s, d: profile.observations(load(s, d, "customer")).select("path", "key").distinct().groupBy("path").agg(F.count("key").alias("n")), _union([f"SELECT '{c}' AS path, count(DISTINCT {c}) AS n FROM customer" for c in _COLS["customer"]]))
-add("prof_distinct_approx", lambda s, d: profile.observations(load(s, d, "lineitem")).groupBy("path").agg(F.approx_count_distinct("key", 0.016).alias("n")))
-add("prof_top10", lambda s, d: profile.top_values(profile.observations(load(s, d, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey", ORD))).select("path", "rank", "key", "n"), _union([f"(SELECT '{c}' AS path, row_number() OVER (ORDER BY count(*) DESC, {c}::VARCHAR)::INTEGER AS rank, {c}::VARCHAR AS key, count(*) AS n FROM orders GROUP BY {c} ORDER BY n DESC, key LIMIT 10)" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")]))
-add("prof_quantiles", lambda s, d: profile.statistics(profile.observations(load(s, d, "lineitem").select("l_quantity", ORD)), False).select(F.col("q")[0].alias("median"), F.col("q")[1].alias("p95")), "SELECT quantile_cont(l_quantity, 0.5)::DOUBLE AS median, quantile_cont(l_quantity, 0.95)::DOUBLE AS p95 FROM lineitem")
+add("prof_minmax", _told(_of("lineitem"), "min double, max double", lambda f: (f.min, f.max) if f.min is not None else None), _union([f"SELECT '{c}' AS path, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM lineitem" for c in _NUMS]))
+add("prof_strlen", _told(_of("customer"), "min_len int, max_len int", lambda f: (f.min_len, f.max_len) if f.min_len is not None else None), _union([f"SELECT '{c}' AS path, min(octet_length(encode({c})))::INTEGER AS min_len, max(octet_length(encode({c})))::INTEGER AS max_len FROM customer" for c in ("c_name", "c_mktsegment")]))
+add("prof_nulls", _told(labelled, "observations long, n_null long", lambda f: (f.observations, f.kinds.get("null", 0))), _union([f"SELECT '{c}' AS path, count(*) AS observations, count(*) - count({c}) AS n_null FROM {_LABELLED}" for c in ("doc_id", "quality", "toxic")]))
+add("prof_bool_distinct", _told(labelled, "n long", lambda f: (f.distinct,)), _union([f"SELECT '{c}' AS path, {f'count(DISTINCT {c})' if c != 'toxic' else 'count(DISTINCT NULL)'} AS n FROM {_LABELLED}" for c in ("doc_id", "quality", "toxic")]))
+add("prof_distinct", _told(_of("customer"), "n long", lambda f: (f.distinct,)), _union([f"SELECT '{c}' AS path, count(DISTINCT {c}) AS n FROM customer" for c in _COLS["customer"]]))
+
+
+def _approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each path is counted exactly, and whether the number is within a twentieth of the exact profile's."""
+    exact = {f.path: f.distinct for f in profile.profile(_source(spark, sf_dir, "lineitem")).fields}
+    return _told(_of("lineitem"), "exact boolean, near boolean", lambda f: (f.exact, abs(f.distinct - exact[f.path]) <= exact[f.path] / 20), True)(spark, sf_dir)
+
+
+add("prof_distinct_approx", _approximate, _union([f"SELECT '{c}' AS path, count(DISTINCT {c}) <= 16384 AS exact, true AS near FROM lineitem" for c in _COLS["lineitem"]]))
+
+
+def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = profile.profile(_source(spark, sf_dir, "orders"))
+    return spark.createDataFrame([(f.path, i + 1, k, n) for f in p.fields for i, (k, n) in enumerate(f.top)], "path string, rank int, key string, n long")
+
+
+_KEYS = {"o_orderkey": "o_orderkey::VARCHAR", "o_custkey": "o_custkey::VARCHAR", "o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "o_totalprice": "regexp_replace(o_totalprice::VARCHAR, '\\.0$', '')", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')"}
+add("prof_top10", _tops, _union([f"(SELECT '{c}' AS path, row_number() OVER (ORDER BY count(*) DESC, {k})::INTEGER AS rank, {k} AS key, count(*) AS n FROM orders GROUP BY {c} ORDER BY n DESC, key LIMIT 10)" for c, k in _KEYS.items()]))
+add("prof_quantiles", _told(_of("lineitem"), "median double, p95 double", lambda f: (round(f.median, 6), round(f.p95, 6)) if f.median is not None else None), _union([f"SELECT '{c}' AS path, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(quantile_cont({c}::DOUBLE, 0.95), 6) AS p95 FROM lineitem" for c in _NUMS]))
 
 
 def _hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = profile.observations(load(spark, sf_dir, "part").select("p_size", ORD))
-    return profile.histogram(obs, profile.statistics(obs, False))
+    p = profile.profile(_source(spark, sf_dir, "part"))
+    return spark.createDataFrame([(f.path, i, n) for f in p.fields for i, (_, _, n) in enumerate(f.bars) if n], "path string, bar int, n long")
 
 
-add("prof_hist20", _hist, "WITH e AS (SELECT min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part) SELECT 'p_size' AS path, least(19, floor((p_size - lo) / ((hi - lo) / 20)))::INTEGER AS bar, count(*) AS n FROM part, e GROUP BY ALL")
-add("prof_nested", lambda s, d: profile.statistics(profile.observations(_turns(s, d))).select("path", "observations", "presence"), _union([
+add("prof_hist20", _hist, _union([f"(WITH e AS (SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi FROM part) SELECT '{c}' AS path, least(19, floor(({c} - lo) / ((hi - lo) / 20)))::INTEGER AS bar, count(*) AS n FROM part, e GROUP BY ALL)" for c in ("p_partkey", "p_size", "p_retailprice")]))
+add("prof_nested", _told(_turns, "observations long, presence long", lambda f: (f.observations, f.presence)), _union([
     "SELECT 'conv_id' AS path, count(DISTINCT conv_id) AS observations, count(DISTINCT conv_id) AS presence FROM conversations",
     "SELECT 'turns' AS path, count(DISTINCT conv_id) AS observations, count(DISTINCT conv_id) AS presence FROM conversations",
-    *[f"SELECT 'turns[]{c}' AS path, count(*) AS observations, count(DISTINCT conv_id) AS presence FROM conversations" for c in ("", ".turn", ".role", ".size")],
+    *[f"SELECT 'turns[]{c}' AS path, count(*) AS observations, count(DISTINCT conv_id) AS presence FROM conversations" for c in ("", ".turn", ".role", ".text", ".size")],
 ]))
-add("prof_arrays", lambda s, d: profile.statistics(profile.observations(load(s, d, "embeddings").select("embedding", ORD))).select("path", "observations", "presence", "n_float", "n_array"), _union([
+add("prof_arrays", _told(_of("embeddings"), "observations long, presence long, n_float long, n_array long", lambda f: (f.observations, f.presence, f.kinds.get("float", 0), f.kinds.get("array", 0))), _union([
     "SELECT 'embedding' AS path, count(*) AS observations, count(*) AS presence, 0::BIGINT AS n_float, count(*) AS n_array FROM embeddings",
     "SELECT 'embedding[]' AS path, sum(len(embedding))::BIGINT AS observations, count(*) AS presence, sum(len(embedding))::BIGINT AS n_float, 0::BIGINT AS n_array FROM embeddings",
+    *[f"SELECT '{c}' AS path, count(*) AS observations, count(*) AS presence, 0::BIGINT AS n_float, 0::BIGINT AS n_array FROM embeddings" for c in ("vec_id", "label")],
 ]))
 
 
@@ -294,10 +332,21 @@ def _split(spark: SparkSession, sf_dir: str, old: str, new: str, drop: str = "",
     return diff.rows(spark, diff.diff(pa, pb)).select("path", "kind", "breaking")
 
 
-add("diff_removed_col", lambda s, d: _split(s, d, "o_orderdate < timestamp'1998-01-01'", "o_orderdate >= timestamp'1998-01-01'", "o_custkey"), "SELECT 'o_custkey' AS path, 'removed' AS kind, true AS breaking")
-add("diff_added_col", lambda s, d: _split(s, d, "o_orderdate < timestamp'1998-01-01'", "o_orderdate >= timestamp'1998-01-01'", extra="o_new"), "SELECT 'o_new' AS path, 'added' AS kind, false AS breaking")
-add("diff_enum", lambda s, d: _split(s, d, "o_orderpriority < '4'", "o_orderpriority > '2'"), "SELECT 'o_orderpriority' AS path, 'changed' AS kind, true AS breaking")
-add("diff_orders_by_year", lambda s, d: _split(s, d, "o_orderdate < timestamp'1998-01-01'", "o_orderdate >= timestamp'1998-01-01'").agg(F.count(F.lit(1)).alias("n_changes")), "SELECT 0::BIGINT AS n_changes")
+_YEARS = ("o_orderdate < timestamp'1998-01-01'", "o_orderdate >= timestamp'1998-01-01'")
+
+
+def _drift(old: str, new: str) -> str:
+    """SQL of the columns whose values, up to ten on each side, differ between two parts of orders."""
+    sides = [f"(SELECT count(DISTINCT v) FROM v WHERE {w}) BETWEEN 2 AND 10" for w in (old, new)]
+    gone, come = [f"(SELECT count(*) FROM (SELECT v FROM v WHERE {x} EXCEPT SELECT v FROM v WHERE {y}))" for x, y in ((old, new), (new, old))]
+    return _union([f"(WITH v AS (SELECT o_orderdate, o_orderpriority, {c} AS v FROM orders) SELECT '{c}' AS path, 'changed' AS kind, {come} > 0 AS breaking WHERE {sides[0]} AND {sides[1]} AND {gone} + {come} > 0)" for c in ("o_orderstatus", "o_orderpriority")])
+
+
+_DRIFT = _drift(*_YEARS)
+add("diff_removed_col", lambda s, d: _split(s, d, *_YEARS, "o_custkey"), f"SELECT 'o_custkey' AS path, 'removed' AS kind, count(*) > 0 AS breaking FROM orders WHERE {_YEARS[0]} UNION ALL {_DRIFT}")
+add("diff_added_col", lambda s, d: _split(s, d, *_YEARS, extra="o_new"), f"SELECT 'o_new' AS path, 'added' AS kind, count(*) < 0 AS breaking FROM orders WHERE {_YEARS[1]} UNION ALL {_DRIFT}")
+add("diff_enum", lambda s, d: _split(s, d, "o_orderpriority < '4'", "o_orderpriority > '2'"), _drift("o_orderpriority < '4'", "o_orderpriority > '2'"))
+add("diff_orders_by_year", lambda s, d: _split(s, d, *_YEARS).agg(F.count(F.lit(1)).alias("n_changes")), f"SELECT count(*) AS n_changes FROM ({_DRIFT})")
 
 
 def _visual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,9 +355,12 @@ def _visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c.path, c.form, c.badges[0][0], m.score) for c in m.cards], "path string, form string, badge string, score long")
 
 
-add("vis_form", lambda s, d: _visual(s, d).select("path", "form"), _union([f"SELECT '{c}' AS path, {f} AS form" for c, f in (("c_custkey", "'histogram'"), ("c_name", "'high_cardinality'"), ("c_nationkey", "'histogram'"), ("c_acctbal", "'histogram'"), ("c_mktsegment", "'categorical'"))]))
-add("vis_badges", lambda s, d: _visual(s, d).select("path", "badge"), _union([f"SELECT '{c}' AS path, '{'high_cardinality' if c == 'c_name' else 'clean'}' AS badge" for c in _COLS["customer"]]))
-add("vis_health", lambda s, d: _visual(s, d).select("score").distinct(), "SELECT 100::BIGINT AS score")
+_SEEN = _union([f"SELECT '{c}' AS path, count({c}) AS n, count(DISTINCT {c}) AS k, count(*) AS rows FROM customer" for c in _COLS["customer"]])
+_TEXTS = "path IN ('c_name', 'c_mktsegment')"
+_BADGE = f"CASE WHEN n = 0 THEN 'all_null' WHEN n <= rows * 0.5 THEN 'null_high' WHEN n <= rows * 0.8 THEN 'null_elevated' WHEN k = 1 AND n > 1 THEN 'constant' WHEN {_TEXTS} AND k > 25 AND k >= 0.9 * n THEN 'high_cardinality' ELSE 'clean' END"
+add("vis_form", lambda s, d: _visual(s, d).select("path", "form"), f"SELECT path, CASE WHEN n = 0 THEN 'empty' WHEN {_TEXTS} THEN CASE WHEN k <= 25 THEN 'categorical' ELSE 'high_cardinality' END WHEN k <= 12 THEN 'categorical' ELSE 'histogram' END AS form FROM ({_SEEN})")
+add("vis_badges", lambda s, d: _visual(s, d).select("path", "badge"), f"SELECT path, {_BADGE} AS badge FROM ({_SEEN})")
+add("vis_health", lambda s, d: _visual(s, d).select("score").distinct(), f"SELECT round(100 * (1 - avg(CASE {_BADGE} WHEN 'all_null' THEN 1 WHEN 'null_high' THEN 0.5 WHEN 'null_elevated' THEN 0.15 WHEN 'constant' THEN 0.15 ELSE 0 END)))::BIGINT AS score FROM ({_SEEN})")
 
 # generated code and exports --------------------------------------------------------------------------------------
 
@@ -321,4 +373,19 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("gen_sql_exec", _generated, "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderstatus IN ('F', 'P') AND contains(lower(o_orderpriority), 'high') ORDER BY o_orderkey DESC LIMIT 300")
-add("exp_ndjson", lambda s, d: load(s, d, "nation").select("n_nationkey", sinks.json_line([ColumnSpec("n_nationkey"), ColumnSpec("n_name")], Accessor(load(s, d, "nation"))).alias("line")), "SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an export of the whole table."""
+    import tempfile
+
+    e = Explorer(spark)
+    h = e.open(f"{sf_dir}/nation.parquet")
+    with tempfile.TemporaryDirectory() as d:  # the export itself is a file of the driver
+        e.export(h, ExplorerQuery(), f"{d}/out.ndjson", "ndjson")
+        with open(f"{d}/out.ndjson", encoding="utf-8") as f:
+            return spark.createDataFrame([(x.rstrip("\n"),) for x in f], "line string")
+
+
+add("exp_ndjson", _exported, "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS line FROM nation")
+

@@ -6,10 +6,13 @@ import json
 import os
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowscope.functions.access import ORD, RECORD
+from rowscope.functions.literals import elements
 from rowscope.sources.detect import detect, json_mode, separator
 
 
@@ -21,6 +24,7 @@ class Source:
     format: str
     path: str
     bad: DataFrame | None = None
+    in_order: bool = False  # whether the partitions of ``df`` follow each other in the order of the rows
 
     @property
     def skipped(self) -> int:
@@ -45,13 +49,15 @@ def open_source(spark: SparkSession, path: str, format: str | None = None, raw:
     head = b"" if format or ext in (".parquet", ".ndjson", ".jsonl", ".csv", ".tsv", ".tab", ".json") else _head(spark, path)
     kind = detect(path, head, format)
     if kind == "parquet":
-        return Source(parquet(spark, path), kind, path)
+        df = parquet(spark, path)
+        return Source(df, kind, path, in_order=len(df.inputFiles()) == 1)
     if kind == "sqlite":
         from rowscope.sources.sqlite import read_sqlite
 
         return Source(read_sqlite(spark, path, table), kind, path)
     if kind == "csv":
-        return Source(csv(spark, path, "\t" if format == "tsv" else separator(path), raw), kind, path)
+        df = csv(spark, path, "\t" if format == "tsv" else separator(path), raw)
+        return Source(df, kind, path, in_order=len(df.inputFiles()) == 1)
     return json_source(spark, path, json_mode(path, head, format))
 
 
@@ -68,28 +74,41 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:
-    """The scan's own row index where there is one file; several files are numbered in the scan's order."""
+    """The scan's own row index; rows of several files are numbered file after file, by name.
+
+    The rows of each file come from the footers.  Filters on the columns pass below the ordinals to the scan.
+    """
     df = spark.read.parquet(path)
     if len(df.inputFiles()) == 1:
         return df.select("*", F.col("_metadata.row_index").alias(ORD))
-    return numbered(df)
+    files = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a file: the driver's own listing is as long, so this may be broadcast
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(starts), "_file")
+    return placed.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns], (F.col("_start") + F.col("_row")).alias(ORD))
 
 
 def json_source(spark: SparkSession, path: str, mode: str) -> Source:
     if mode == "document":
         text = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
-        doc = text.select(F.try_parse_json("value").alias("v"), F.col("value").alias("_raw"))
-        doc.createOrReplaceTempView("_rowscope_doc")
-        array = F.schema_of_variant("v").startswith("ARRAY")
-        one = doc.where(F.coalesce(~array, F.lit(False))).select("_raw", F.col("v").alias(RECORD), F.lit(0).cast("long").alias(ORD))
-        items = doc.where(array).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.to_json("value").alias("_raw"), F.col("value").alias(RECORD), F.col("pos").cast("long").alias(ORD))
-        bad = doc.where("v is null")
-        if bad.limit(1).count():
+
+        def records(batches):
+            for b in batches:
+                for doc in b.column("value").to_pylist():
+                    items = elements(doc)
+                    own = [doc.strip()] if items is None else items
+                    for at in range(0, len(own), 10_000):
+                        part = own[at : at + 10_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(range(at, at + len(part)), pa.int64())], names=["_raw", ORD])
+
+        cut = text.mapInArrow(records, f"_raw string, {ORD} long")
+        df = cut.select("_raw", F.try_parse_json("_raw").alias(RECORD), ORD)
+        if not df.where(F.col(RECORD).isNull()).isEmpty():
             raise ValueError(f"{path}: not valid JSON")
-        return Source(one.unionAll(items), "json", path)
+        return Source(df, "json", path)
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias("_raw"))
     parsed = lines.withColumn(RECORD, F.try_parse_json("_raw"))
-    return Source(numbered(parsed.where(F.col(RECORD).isNotNull())), "json", path, parsed.where(F.col(RECORD).isNull()))
+    return Source(numbered(parsed.where(F.col(RECORD).isNotNull())), "json", path, parsed.where(F.col(RECORD).isNull()), len(lines.inputFiles()) == 1)
 
 
 def csv_json(c: Column) -> Column:
