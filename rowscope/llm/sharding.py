@@ -1,7 +1,7 @@
 """Sharding by a hierarchical weighted hash tree (native: DataFrame functions only).
 
-The tree has regions, racks and shards.  Each leaf has a weighted exponential draw ``-ln(u) / weight`` with ``u``
-hashed from (seed, key, leaf); a node's draw is the smallest of the draws below it, so the descent takes, at each
+The tree has regions, racks and shards.  Each leaf has a weighted exponential draw ``-ln(u) / weight`` with ``u`` the
+first 52 bits of the MD5 of (seed, leaf, key), which any SQL engine can compute; a node's draw is the smallest of the draws below it, so the descent takes, at each
 level, the child with the smallest draw.  A minimum of exponentials is exponential with the sum of the weights, so
 every level draws in proportion to its subtree's weight, and a leaf that is added or reweighted changes only draws of
 its own ancestors: rows move into a subtree whose weight grew, out of one whose weight shrank, and nowhere else.
@@ -36,9 +36,14 @@ def tree(n_shards: int, per_rack: int = 2, racks_per_region: int = 2, weights: d
     return [Leaf(i // (per_rack * racks_per_region), i // per_rack, i, w.get(i, 1.0)) for i in range(n_shards)]
 
 
+def _bits(text: Column, digits: int) -> Column:
+    """The first hexadecimal digits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint")
+
+
 def _draw(key: Column, leaf: Leaf, seed: int) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(leaf.shard), key.isNull(), key), 11)
-    return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(2**53))) / F.lit(leaf.weight)
+    text = F.concat(F.lit(f"{seed}|{leaf.shard}|"), F.when(key.isNull(), "n").otherwise(F.concat(F.lit("v"), key.cast("string"))))
+    return -F.log((_bits(text, 13).cast("double") + F.lit(0.5)) / F.lit(float(2**52))) / F.lit(leaf.weight)
 
 
 def _least(cols: list[Column]) -> Column:
@@ -76,24 +81,18 @@ def place(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard", seed:
 def slots(df: DataFrame, shard: str, order: list[str], rows_per_bin: int = 20_000) -> DataFrame:
     """Number the rows of each shard from 0 without gaps and without one task per shard.
 
-    Rows are dealt to bins by a hash of the ordering columns; a bin's rows are numbered in its own task and shifted
-    by the rows in the bins before it.  The bin table has one row a shard and bin and grows with rows / rows_per_bin.
-    Rows that agree in all ordering columns differ in nothing that is kept, so a big group of repeated rows is
-    counted once and its copies are numbered by explode, never sorted in one task.
+    Rows are dealt to bins by a hash of the ordering columns; a bin's rows are numbered in its own task and shifted by a
+    running sum over the bins before it.  The bin table has one row a shard and bin and grows with rows / rows_per_bin.
+    Rows that agree in all ordering columns differ in nothing that is kept, so a big group of repeated rows is counted
+    once and its copies are numbered by explode, never sorted in one task.
     """
     n = df.count()
     bins = max(4, -(-n // rows_per_bin))
     kinds = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    kinds = kinds.withColumn("_bin", F.pmod(F.xxhash64(*order), F.lit(bins)))
+    kinds = kinds.withColumn("_bin", F.pmod(_bits(F.concat_ws("|", *[F.col(c).cast("string") for c in order]), 13), F.lit(bins)))
     sizes = kinds.groupBy(shard, "_bin").agg(F.sum("_copies").alias("_n"))
-    # bins of one shard: a few thousand rows at most per million rows of input
-    sizes = sizes.groupBy(shard).agg(F.sort_array(F.collect_list(F.struct("_bin", "_n"))).alias("_l"))
-    shifts = sizes.select(
-        shard,
-        F.posexplode(
-            F.expr("transform(_l, (x, i) -> struct(x._bin as _bin, aggregate(slice(_l, 1, i), 0L, (a, y) -> a + y._n) as _shift))")
-        ).alias("_i", "_s"),
-    ).select(shard, "_s._bin", "_s._shift")
+    earlier = W.partitionBy(shard).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    shifts = sizes.select(shard, "_bin", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
     w = W.partitionBy(shard, "_bin").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     inner = kinds.withColumn("_before", F.coalesce(F.sum("_copies").over(w), F.lit(0)))
     joined = inner.join(shifts, [shard, "_bin"])
