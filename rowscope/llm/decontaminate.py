@@ -233,7 +233,7 @@ class Items:
             for i, v in enumerate(x.tolist()):
                 m[v] = m.get(v, 0) | 1 << i
             masks.append(m)
-        size = np.array([len(x) for x in words])
+        size = np.array([len(x) for x in words], np.int64)
         low, scales = 0, []
         for width, _, most in SCALES:
             # a passage longer than the window has a vector for each window's length of it, the last up to its end

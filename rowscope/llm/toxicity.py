@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections import Counter
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -25,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import map_text, texts
+from rowscope.llm.common import map_text, slices, stored, texts
 from rowscope.llm.rules import labelled_sample
 
 SAMPLE_ROWS = 20_000
 # Look-alike letters of other scripts.
-HOMOGLYPHS = dict(zip("авсԁеһіјкӏмиорԛгѕтυѵхуԝѡαβεικνορτχγ", "abcdehijklmnopqrstuvxywwabeiknoptxy", strict=False))
+HOMOGLYPHS = {x[0]: x[1] for x in "аa вb сc ԁd еe һh іi јj кk ӏl мm иn оo рp ԛq гr ѕs тt υu ѵv хx уy ԝw ѡw αa βb εe ιi κk νv οo ρp τt χx γy".split()}
 # Digits and symbols read as letters between letters.
 DIGITS = dict(zip("013457@$!|", "oieastasil", strict=True))
 # Seed words, mild public insults, used as a prior.
@@ -43,8 +42,8 @@ class _Fold(dict):
     """Character map filled as characters are met."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code).lower()
-        c = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) or ("" if unicodedata.combining(chr(code)) else " ")
+        c = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(code)).lower())
+        c = "".join(x for x in c if not unicodedata.combining(x)) or ("" if unicodedata.combining(chr(code)) else " ")
         c = "".join(HOMOGLYPHS.get(x, x) for x in c)
         if code in (0x200B, 0x200C, 0x200D, 0x00AD, 0xFEFF, 0x2060):
             c = ""
@@ -121,28 +120,38 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.coef[0] + x @ self.coef[1:], -40, 40)))
 
 
-def learn(rows: list[tuple[str, int]], least_docs: int = 4, least_weight: float = 2.0, most_terms: int = 5_000) -> Lexicon:
-    """A lexicon from (text, label) rows."""
+def learn(rows: DataFrame, least_docs: int = 4, least_weight: float = 2.0, most_terms: int = 5_000) -> Lexicon:
+    """A lexicon from rows (t: text, y: 0 or 1).  Tasks count terms and compute features; no text comes to the driver."""
     seeds = {s + " ": 4.0 for s in SEEDS}
-    good, bad = Counter(), Counter()
-    n = [0, 0]
-    for text, y in rows:
-        n[y] += 1
-        (bad if y else good).update(terms(set(words(text))))
-    if not n[0] or not n[1]:
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return Lexicon(seeds)
-    odds = {}
-    for t, b in bad.items():
-        if b >= least_docs:
-            w = float(np.log((b + 0.5) / (n[1] + 1)) - np.log((good[t] + 0.5) / (n[0] + 1)))
-            if w >= least_weight:
-                odds[t] = w
-    best = dict(sorted(odds.items(), key=lambda kv: (-kv[1] * np.sqrt(bad[kv[0]]), kv[0]))[:most_terms])
-    lex = Lexicon(seeds | best)
-    auto = lex.automaton()
-    x = np.array([lex.features(t, auto) for t, _ in rows])
-    y = np.array([y for _, y in rows], float)
-    lex.coef = fit_logistic(x, y)
+
+    def found(batches):
+        for whole in batches:
+            for b in slices(whole, "t"):
+                sets = [sorted(terms(set(words(t)))) for t in texts(b, "t").to_pylist()]
+                y = np.repeat(b.column("y").to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array([t for x in sets for t in x], pa.string()), pa.array(y, pa.int32())], names=["term", "y"])
+
+    def rate(k, of: int):
+        return F.log(k + 0.5) - float(np.log(of + 1))
+
+    counts = rows.mapInArrow(found, "term string, y int").groupBy("term").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all"))
+    odds = counts.where(F.col("bad") >= least_docs).withColumn("w", rate(F.col("bad"), n[1]) - rate(F.col("all") - F.col("bad"), n[0]))
+    best = odds.where(F.col("w") >= least_weight).orderBy((F.round("w", 9) * F.sqrt("bad")).desc(), "term").limit(most_terms)
+    lex = Lexicon(seeds | {r["term"]: r["w"] for r in best.collect()})
+
+    def measured(batches):
+        auto = lex.automaton()
+        for whole in batches:
+            for b in slices(whole, "t"):
+                x = np.array([lex.features(t, auto) for t in texts(b, "t").to_pylist()]).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), b.column("y")], names=["a", "b", "c", "y"])
+
+    got = sorted(rows.mapInArrow(measured, "a double, b double, c double, y int").collect())  # a bounded sample, four numbers a row
+    x = np.array(got, float)
+    lex.coef = fit_logistic(x[:, :3], x[:, 3])
     return lex
 
 
@@ -170,8 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Learn from labelled rows outside the held-out fold."""
     seen = labels.where(~held_out(F.col(key)))
     got = labelled_sample(docs.select(key, text), seen, label, rows, key).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(label).cast("int").alias("y"))
-    # each row's set of terms is counted where the row is; texts come to the driver in the bounded sample only
-    return learn(sorted((r["t"], int(r["y"] > 0)) for r in got.toLocalIterator()))
+    return learn(stored(got.withColumn("y", (F.col("y") > 0).cast("int"))))
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, text: str = "text", key: str = "doc_id") -> DataFrame:

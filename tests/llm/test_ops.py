@@ -152,6 +152,27 @@ def test_quality_by_sites(spark, labels):
     assert quality.classify(docs.limit(0), model).count() == 0
 
 
+def test_sites_change_verdicts(spark):
+    """Equal evidence: kept among good neighbours, rejected among bad ones; a document alone at its site keeps its own."""
+    rows = [(i, f"w{i}", "good" if i < 30 else "bad", "x") for i in range(60)] + [(90, "solo", "alone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    doubt = {0, 30, 90}
+
+    def stated(df, *_):
+        own = F.when(F.col("doc_id").isin(*doubt), 0.2).when(F.col("source") == "bad", -6.0).otherwise(6.0)
+        return df.withColumns({quality._EV: own, quality._HOST: F.col("source"), quality._PATH: F.col("lang")})
+
+    real, quality.with_evidence = quality.with_evidence, stated
+    try:
+        out = {r["doc_id"]: r for r in quality.classify(docs, None).collect()}
+    finally:
+        quality.with_evidence = real
+    assert out[0]["kept"] and not out[30]["kept"] and out[30]["evidence"] > 0 and out[90]["kept"]
+    # without itself the bad site is as bad for the doubtful document as its 29 neighbours are
+    p = 1 / (1 + np.exp(6.0))
+    assert out[30]["site_rate"] < 0.1 and out[30]["site_rate"] > p and out[90]["site_rows"] == 1
+
+
 def test_toxicity_held_out(spark):
     bad = ["idiot", "m0ron", "sсum"]  # a digit, and a Cyrillic letter
     data = [(i, prose(60) + (" " + bad[i % 3] + " " + prose(10) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
@@ -162,7 +183,8 @@ def test_toxicity_held_out(spark):
     assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in out)
     assert np.mean([out[i]["predicted"] == y for i, y in held]) > 0.97
     assert out[900]["predicted"] == out[901]["predicted"] == 0
-    lex = toxicity.learn([])
+    assert toxicity.fold("𝐈𝐃𝐈𝐎𝐓 1d10t іdiоt ＩＤＩＯＴ ídïót") == "idiot " * 4 + "idiot"
+    lex = toxicity.learn(spark.createDataFrame([], "t string, y int"))
     auto = lex.automaton()
     assert lex.features("a trash can here", auto)[0] == 0 and lex.features("such tr4sh here", auto)[0] > 0
 
@@ -188,6 +210,57 @@ def test_sharding_law_and_slots(docs):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_draws_recomputed(docs):
+    """The least of all draws decides, and the words of the rule give the same shard."""
+    for r in sharding.shard_documents(docs).collect():
+        name = "n" if r["doc_id"] is None else f"v{r['doc_id']}"
+        u = [(int(hashlib.md5(f"7|{i}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(17)]
+        assert r["shard"] == int(np.argmax(u[:16])) and r["grown_shard"] == int(np.argmax(u))
+
+
+def test_sql_of_this_folder(spark):
+    import duckdb
+
+    from rowscope.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    try:
+        db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    except duckdb.Error:
+        pytest.skip("no test data")
+    for name, sql in ORACLE_SQL.items():
+        got = db.execute(sql)
+        names = [d[0] for d in got.description]
+        assert sorted(got.fetchall(), key=repr) == sorted((tuple(r) for r in QUERIES[name](spark, sf).select(*names).collect()), key=repr)
+
+
+def test_suppression_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        hits = [licenses.Found(str(rng.choice(list("abc"))), int(a := rng.integers(0, 12)), int(a + rng.integers(0, 6)), int(rng.choice([1, 2])), 0.5) for _ in range(rng.integers(0, 12))]
+        rank = {h: (-h.priority, h.first - h.last, h.first, h.label) for h in hits}
+        kept = []
+        for h in sorted(set(hits), key=rank.get):
+            if not any(k.first <= h.first and h.last <= k.last for k in kept):
+                kept.append(h)
+        assert set(licenses.suppress(hits)) == set(kept)
+
+
+def test_empty_tables(spark, docs, vocabulary):
+    """No rows in, no rows out, and the columns of the result."""
+    none = docs.limit(0)
+    bench = spark.createDataFrame([(1, BASE[5])], "item_id long, text string")
+    lex = toxicity.learn(spark.createDataFrame([], "t string, y int"))
+    for out, col in (
+        (toxicity.score_documents(none, lex), "predicted"), (decontaminate.find(none, bench), "lcs_share"), (substrings.dedup_report(none), "kept_sha256"),
+        (simhash.grouped(none), "component_id"), (licenses.scan_documents(none), "labels"), (sentencepieces.encode_documents(none, vocabulary), "pieces"),
+        (html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")), "text"), (substrings.remove_repeats(none), "text"), (decontaminate.remove_contaminated(none, bench), "text"),
+    ):
+        assert out.count() == 0 and col in out.columns
+    assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.remove_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
 def test_reweighting_moves_rows_out_of_one_subtree_only(spark):
     df = spark.range(4000)
     a = sharding.place(df, "id", sharding.tree(8), "a")
@@ -197,6 +270,53 @@ def test_reweighting_moves_rows_out_of_one_subtree_only(spark):
     assert 0.15 < n[5] / (sum(n.values()) / 7.25) < 0.4
 
 
+def test_pages_by_two_passes():
+    """Labels against the rule written out plainly, over pages with and without articles."""
+    rng = np.random.default_rng(2)
+
+    def page(article):
+        parts = []
+        for _ in range(rng.integers(1, 14)):
+            n = int(rng.choice([2, 6, 40]))
+            text = " ".join(rng.choice(["the", "of", "and", "zork", "blim", "quux"], n))
+            kind = rng.choice(["p", "h2", "div class=nav", "a"])
+            parts.append(f"<p><a href=x>{text}</a></p>" if kind == "a" else f"<{kind}>{text}</{kind.split()[0]}>")
+        return "<nav>x y</nav>" + (f"<article>{''.join(parts)}</article>" if article else "".join(parts)) + "<footer>z</footer>"
+
+    for i in range(300):
+        found = html.blocks(page(i % 2))
+        first = [html.first_pass(b) for b in found]
+        got = html.second_pass(found, first)
+        for k, b in enumerate(found):
+            if first[k] is not None:
+                assert got[k] == first[k]
+                continue
+            own = [j for j, x in enumerate(found) if x.article == b.article]
+            if not any(first[j] == 1 for j in own):
+                assert got[k] == (1 if b.article or i % 2 == 0 else 0)
+                continue
+            left = [j for j in own if j < k and first[j] is not None][-1:]
+            right = [j for j in own if j > k and first[j] is not None][:1]
+            if not left or not right or b.heading:
+                want = first[(right or left)[0]] if b.heading and right else first[(left or right)[0]]
+            else:
+                near = own.index(k) - own.index(left[0]) <= own.index(right[0]) - own.index(k)
+                want = first[left[0]] if near else first[right[0]]
+            assert got[k] == want
+
+
+def test_odd_pages():
+    import time
+
+    assert html.extract("<div><h1>Title</h1><p>Short one.</p><p>Two.</p></div>") == "Title\nShort one.\nTwo."
+    assert html.extract('<article><p data-id="nav">kept</p></article>') == "kept"
+    assert html.extract('<article><div class="article-header"><h1>T</h1></div><p>x</p></article>') == "T\nx"
+    assert html.extract('<p id=nav>gone</p><div class="main"><p>kept</p></div>') == "kept"
+    start = time.perf_counter()
+    assert html.extract("<div>" * 60_000 + "</span>" * 60_000 + "x") == "x" and html.extract("<p><b>" * 60_000 + "y</i>" * 60_000).startswith("y")
+    assert time.perf_counter() - start < 5
+
+
 def test_html():
     page = """<!doctype html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
     <nav><ul><li><a href=/a>Home</a></ul></nav><div class="cookie-notice">We use cookies on the site and you can say no to them here.</div>
@@ -204,14 +324,14 @@ def test_html():
     <section id="comments"><p>This is what a reader says of the text, and it is long enough to be taken for a paragraph of it.</p></section>
     <form><p>Your mail</p></form><footer>&copy; all</footer>"""
     assert html.extract(page) == "Head\nSome words & the rest of it next\nHi."
-    assert html.extract(None) == html.extract("") == "" and html.extract("<p>cut <b") == ""
+    assert html.extract(None) == html.extract("") == "" and html.extract("<p>cut <b") == "cut"
     long = "It is the case that the words of this block are those of the text and that they go on for a while in it."
     assert html.extract(f"<body><div><a href=x>one</a> <a href=y>two</a></div><div>{long}</div><p>Short.</p><div>{long}</div></body>") == f"{long}\nShort.\n{long}"
 
 
 def test_pages_keep_other_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "old"), (2, None, None, "old")], "page_id int, url string, html string, text string")
-    assert rows_of(html.extract_pages(df), "page_id", "url", "n_chars") == [(1, "u", 0), (2, None, 0)]
+    assert rows_of(html.extract_pages(df), "page_id", "url", "n_chars") == [(1, "u", 1), (2, None, 0)]
 
 
 def test_decontamination_recall(spark):
