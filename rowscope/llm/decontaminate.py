@@ -337,14 +337,14 @@ def _held(mask: dict[int, int], near: list[int]) -> int:
 
 
 def _matches(docs: DataFrame, table: np.ndarray, block: list[tuple], text: str, item_type: T.DataType, cosine: float, likely: float, sure: float) -> DataFrame:
-    """``docs`` and ``__m``: the matches of each row with the passages of the block."""
+    """``docs`` and ``__matches``: those of each row with the passages of the block."""
     hit = T.StructType([T.StructField("item", item_type), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("word", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("__m", T.ArrayType(hit))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__matches", T.ArrayType(hit))])
     items = Items.of(block, table)
 
     def run(batch: pa.RecordBatch) -> dict:
         found = search(texts(batch, text), items, table, cosine, likely, sure)
-        return {"__m": [[{"item": items.ids[i], "share": s, "cosine": c, "word": a} for i, (s, c, a) in sorted(f.items())] for f in found]}
+        return {"__matches": [[{"item": items.ids[i], "share": s, "cosine": c, "word": a} for i, (s, c, a) in sorted(f.items())] for f in found]}
 
     return map_text(docs, text, run, schema)
 
@@ -356,7 +356,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     out = None
     for block in _blocks(benchmark, text, item):
         got = _matches(docs.select(key, text), table, block, text, kind, cosine, likely, sure)
-        part = got.select(key, F.explode("__m").alias("m")).select(key, F.col("m.item").alias(item), F.col("m.share").alias("lcs_share"), F.col("m.cosine").alias("cosine"), F.col("m.word").alias("first_word"))
+        part = got.select(key, F.explode("__matches").alias("m")).select(key, F.col("m.item").alias(item), F.col("m.share").alias("lcs_share"), F.col("m.cosine").alias("cosine"), F.col("m.word").alias("first_word"))
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -365,7 +365,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_i
     """The rows of ``docs`` without any passage of the benchmark; columns as they were."""
     table = fit(docs, benchmark, text, item)
     kind = benchmark.schema[item].dataType
-    out = docs
+    out = docs.withColumnsRenamed({"__matches": "__own_matches"})
     for block in _blocks(benchmark, text, item):
-        out = _matches(out, table, block, text, kind, cosine, likely, sure).where(F.size("__m") == 0).drop("__m")
-    return out
+        out = _matches(out, table, block, text, kind, cosine, likely, sure).where(F.size("__matches") == 0).drop("__matches")
+    return out.withColumnsRenamed({"__own_matches": "__matches"})

@@ -5,7 +5,7 @@ joined by single spaces, so a rule sees the same string whatever punctuation sta
 finds the keywords, and a rule runs only where one of its own occurs.  Among detections, one that lies inside another of higher priority, or of equal priority
 and greater length, is suppressed.  The base phrases are found in all texts and always stay.
 
-Null and empty texts have no words and no detections.  Whole texts are read, and equal texts get equal results.
+Input columns with the names of results give way to these.  Null and empty texts have no words and no detections.  Whole texts are read, and equal texts get equal results.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ document's posterior odds are its own evidence times its path's posterior odds o
 ``site_weight`` so that a site never outweighs clear evidence.  A document's own evidence is left out of the sums of its
 path and host, so it counts once; a document that is alone at its site gets the shrunk prior.
 
-Null host or path: a site of its own.  Null and empty texts: scored from zero statistics like any other row.  Repeated
+Input columns with the names of results give way to these in ``classify`` and stay in ``reject``.  Null host or path: a site of its own.  Null and empty texts: scored from zero statistics like any other row.  Repeated
 rows count each.  Labels of one class only: every document is kept.  Sites are joined by broadcast only where their
 number is checked to be small; else by a shuffle join that splits hot sites.
 """
@@ -48,7 +48,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Evidence:
-    got = stats_rows(labelled_sample(docs, labels, label, rows), text, label).toPandas()
+    got = stats_rows(labelled_sample(docs.select("doc_id", text), labels, label, rows), text, label).toPandas()
     x = _spread(np.array(got["x"].tolist()).reshape(len(got), len(FEATURES)))
     y = (got[label].to_numpy(float) > 0).astype(float)
     k = x.shape[1]

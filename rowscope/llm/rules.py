@@ -5,7 +5,7 @@ judges the rest.  Trees are grown on quantile bins with Newton leaf values; chos
 refusing splits against the direction and by passing the middle of a split down as a bound on the leaves below.  The
 model is flattened into arrays (feature, threshold, children, value) and all rows walk a tree level by level.
 
-Null and empty texts have no words and fail the base rules.  Without labels of both classes the model keeps every
+Input columns with the names of results give way to these.  Null and empty texts have no words and fail the base rules.  Without labels of both classes the model keeps every
 text that passes the base rules.  Equal texts get equal verdicts.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowscope.llm.common import map_text, texts
+from rowscope.llm.common import map_text, stored, texts
 from rowscope.llm.stats import FEATURES, features, measure
 
 SAMPLE_ROWS = 20_000
@@ -108,10 +108,17 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, rounds: int = 60,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most ``rows`` labelled documents, chosen by a hash of the key; one label a key.  The join's small side has at most ``rows`` rows."""
+    """At most ``rows`` labelled documents, chosen by a hash of the key; one label a key, and of documents that share a key one.
+
+    The join's small side has at most ``rows`` rows.
+    """
     picked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
-    picked = picked.orderBy(F.xxhash64(key), key).limit(rows)
-    return docs.drop(label).join(F.broadcast(picked), key)
+    picked = stored(picked.orderBy(F.xxhash64(key), key).limit(rows))
+    found = docs.drop(label).join(F.broadcast(picked), key)
+    if found.select(key).count() <= picked.count():
+        return found
+    others = [c for c in found.columns if c != key]
+    return found.groupBy(key).agg(F.min(F.struct(*others)).alias("__x")).select(key, "__x.*")
 
 
 def stats_rows(docs: DataFrame, text: str, *carry: str) -> DataFrame:
@@ -126,7 +133,7 @@ def stats_rows(docs: DataFrame, text: str, *carry: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Trees:
-    got = stats_rows(labelled_sample(docs, labels, label, rows), text, label).toPandas()
+    got = stats_rows(labelled_sample(docs.select("doc_id", text), labels, label, rows), text, label).toPandas()
     x = np.array(got["x"].tolist()).reshape(len(got), len(FEATURES))
     y = got[label].to_numpy(float)
     order = np.lexsort([*x.T, y])  # the same model however the rows arrive

@@ -12,7 +12,7 @@ others go through the merges again with their own draws.  Words of over ``LONG``
 piece crosses from a letter to a space mark, so words are independent.  Characters without a piece, and the space mark
 itself where it stands in a text, become byte pieces, so decoding gives back every text exactly.
 
-Null texts are empty and have no pieces; decoding them gives the empty text.  Repeated rows get equal pieces.  Texts
+Input columns with the names of results give way to these.  Null texts are empty and have no pieces; decoding them gives the empty text.  Repeated rows get equal pieces.  Texts
 are read whole.  Without dropout the result equals the library's.
 """
 

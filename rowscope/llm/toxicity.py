@@ -6,7 +6,7 @@ lexicon holds whole words and word beginnings with log-odds weights.  It is lear
 rows, with public seed words as a prior; exception phrases cancel matches inside them.  A document's score is a
 logistic function of the strongest match, the sum of matches and that sum normalised by length.
 
-Null and empty texts have no match and get the score of the intercept.  Texts are read whole.  Equal texts get equal
+Input columns with the names of results give way to these.  Null and empty texts have no match and get the score of the intercept.  Texts are read whole.  Equal texts get equal
 scores.  Without labels of both classes the seed words alone decide.
 """
 

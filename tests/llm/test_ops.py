@@ -247,6 +247,31 @@ def test_suppression_equals_brute_force():
         assert set(licenses.suppress(hits)) == set(kept)
 
 
+def test_clashing_names_and_repeated_rows(spark, docs, labels, vocabulary):
+    """Results take the place of input columns of their names; rows that repeat get equal results and one label."""
+    names = "evidence site_rows score kept held_out predicted labels n_words pieces lossless __matches site_rate".split()
+    twice = docs.select("doc_id", "text", "source", "lang").withColumns({n: F.lit("own") for n in names})
+    twice = twice.unionAll(twice)
+    lex = toxicity.train(docs.unionAll(docs), labels)
+    assert rules.labelled_sample(docs.unionAll(docs).select("doc_id", "text"), labels, "quality", 20).count() <= 20
+    model, trees = quality.train(docs, labels), rules.train(docs, labels)
+    for out, own in (
+        (quality.classify(twice, model), ["evidence", "score", "kept"]), (toxicity.score_documents(twice, lex), ["held_out", "score", "predicted"]),
+        (rules.apply_rules(twice, trees), ["n_words", "score", "kept"]), (licenses.scan_documents(twice), ["labels", "n_words", "score"]), (sentencepieces.encode_documents(twice, vocabulary), ["pieces", "lossless"]),
+    ):
+        assert out.count() == twice.count() and len(out.columns) == len(set(out.columns))
+        got = out.select("doc_id", *[F.col(c).cast("string").alias(c) for c in own])
+        assert all(r[c] != "own" for r in got.collect() for c in own)
+        assert got.where("doc_id is not null").distinct().count() <= docs.where("doc_id is not null").count()
+    bench = spark.createDataFrame([(1, BASE[5])], "item_id long, text string")
+    left = decontaminate.remove_contaminated(twice, bench)
+    assert left.columns == twice.columns and {r["__matches"] for r in left.collect()} == {"own"}
+    assert quality.reject(twice, model).columns == twice.columns
+    extra = twice.withColumns({"fingerprint": F.lit("own"), "component_id": F.lit("own"), "f": F.lit("own"), "k": F.lit("own"), "__t": F.lit("own")})
+    assert simhash.grouped(extra).count() == substrings.dedup_report(extra).count() == sharding.shard_documents(extra).count() == extra.count()
+    assert simhash.keep_one(extra).columns == extra.columns and substrings.remove_repeats(extra).columns == extra.columns
+
+
 def test_empty_tables(spark, docs, vocabulary):
     """No rows in, no rows out, and the columns of the result."""
     none = docs.limit(0)
