@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 from dataclasses import asdict, dataclass, field
 from itertools import count
 from typing import Any
@@ -65,10 +66,24 @@ def projected(df: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
     return df.select(ORD, *[project(s, at).alias(n) for s, n in zip(specs, names, strict=True)])
 
 
+#: Estimated bytes of parsed rows for each byte of text.
+PARSED = 4
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder, wherever Spark reads it from."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def rows_per_page(columns: int) -> int:
     return max(40, min(200, 30_000 // max(1, columns)))
 
 
+class Superseded(RuntimeError):
+    """A query whose request was used by a later query, or cancelled, before it ended."""
+
+
 class Explorer:
     """Open sources by handle."""
 
@@ -77,9 +92,14 @@ class Explorer:
         self.views_dir = views_dir or os.path.expanduser("~/.config/rowscope")
         self._ids = count(1)
         self._open: dict[str, tuple[Source, Profile, list[Column]]] = {}
+        self._turns: dict[str, int] = {}  # the latest query of each request
+        self._lock = threading.Lock()
 
-    def open(self, path: str, cache: bool = False, **how: Any) -> str:
+    def open(self, path: str, cache: bool | None = None, budget_mb: int = 512, **how: Any) -> str:
+        """``cache`` None: text sources whose parsed rows are estimated to fit the budget are kept, others are read again each time."""
         source = open_source(self.spark, path, **how)
+        if cache is None:
+            cache = source.format in ("json", "csv") and PARSED * size_of(self.spark, path) <= budget_mb << 20
         if cache:
             source.df = source.df.persist()
         p = profile(source)
@@ -114,10 +134,10 @@ class Explorer:
         return projected(got, self._specs(handle, q))
 
     def query(self, handle: str, q: Query, want_total: bool = False, request: str | None = None) -> Page:
-        """One page of cells.  A later query with the same ``request`` cancels this one."""
+        """One page of cells.  A later query with the same ``request`` cancels this one, which then raises ``Superseded``."""
+        turn = self.cancel(request) if request else 0
         if request:
-            self.cancel(request)
-            self.spark.addTag(f"rowscope-{request}")
+            self.spark.addTag(self._tag(request, turn))
         try:
             specs = self._specs(handle, q)
             found = matching(self.source(handle).df, q.filter, q.search)
@@ -131,14 +151,29 @@ class Explorer:
             names = [s.alias or leaf(s.path) for s in specs]
             rows = got.select(ORD, *[cell(s, at, source=x).alias(f"c{i}") for i, (s, x) in enumerate(zip(specs, sources, strict=True))]).collect()
             total = found.count() if want_total else -1
+        except Exception:
+            if request and self._turns[request] != turn:
+                raise Superseded(request) from None
+            raise
         finally:
             if request:
-                self.spark.removeTag(f"rowscope-{request}")
+                self.spark.removeTag(self._tag(request, turn))
+        if request and self._turns[request] != turn:
+            raise Superseded(request)
         out = [{"index": r[ORD]} | {n: r[f"c{i}"].asDict() for i, n in enumerate(names)} for r in rows]
         return Page(names, out, total, True, len(rows) < q.limit)
 
-    def cancel(self, request: str) -> None:
-        self.spark.interruptTag(f"rowscope-{request}")
+    @staticmethod
+    def _tag(request: str, turn: int) -> str:
+        return f"rowscope-{request}-{turn}"
+
+    def cancel(self, request: str) -> int:
+        """End the request's query, if one runs; gives the number of the request's next query."""
+        with self._lock:
+            turn = self._turns.get(request, 0) + 1
+            self._turns[request] = turn
+        self.spark.interruptTag(self._tag(request, turn - 1))  # no later query has this tag
+        return turn
 
     def count(self, handle: str, f: Filter | None = None, text: str = "") -> int:
         return matching(self.source(handle).df, f or Filter(), text).count()

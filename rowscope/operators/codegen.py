@@ -86,7 +86,6 @@ class _Sql:
         if c.op == "regex":
             if self.spark:
                 return f"{x} RLIKE {literal(('(?i)' if c.ci else '') + v)}".replace("\\", "\\\\")
-            self.code.note("REGEXP needs an extension in SQLite")
             return f"{x} REGEXP {literal(('(?i)' if c.ci else '') + v)}"
         op = {"eq": "=", "ne": "<>", "lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "bool": "="}.get(c.op)
         if op is None:
@@ -100,9 +99,30 @@ class _Sql:
         return f"{x} {op} {literal(v) if self.spark or not isinstance(v, bool) else int(v)}"
 
 
+def _conditions(f: Filter | None):
+    if f is not None:
+        yield from f.conditions
+        for g in f.groups:
+            yield from _conditions(g)
+
+
+def _caveats(code: Code, f: Filter | None, target: str) -> None:
+    """What the conditions mean here and the target does otherwise."""
+    own = list(_conditions(f))
+    if any(c.ci for c in own) and target != "spark":
+        code.note("without regard to case: the target lowers ASCII letters only, here all letters are lowered")
+    if any(c.op == "in" and not [x for x in c.value or [] if x is not None] for c in own):
+        code.note("an empty list matches nothing")
+    if any(c.op == "regex" for c in own):
+        code.note({"jq": "regular expressions are Oniguruma's in jq, RE2's here", "sqlite": "REGEXP needs an extension in SQLite", "spark": "regular expressions are Java's; look-around and back references are refused here"}[target])
+
+
 def sql(f: Filter | None = None, search: str = "", sort: tuple[str, bool] | None = None, transform: Transform | None = None, columns: list[str] | None = None, table: str = "data", dialect: str = "sqlite", limit: int | None = None, offset: int = 0) -> Code:
     """``dialect`` is ``sqlite``, or ``spark`` for text that runs here."""
     code = Code("")
+    _caveats(code, f, dialect)
+    if table == "data":
+        code.note("the text is for a flat table named data; a file is no database")
     s = _Sql(dialect, code)
     t = transform or Transform()
     specs = t.columns(columns or []) if t.select or columns else []
@@ -110,7 +130,7 @@ def sql(f: Filter | None = None, search: str = "", sort: tuple[str, bool] | None
     text = f"SELECT {cols}\nFROM {s.name(table)}"
     where = [] if f is None or f.match_all() else [s.filter(f)]
     if search:
-        code.note("global search covers every value of every column; the text names the given columns only")
+        code.note("global search covers every value of every column; the text names the given columns only" if columns else "global search is left out of the text: there is no column to search")
         hay = [f"instr(lower(cast({s.name(c)} AS {'string' if s.spark else 'text'})), {literal(search.lower())}) > 0" for c in columns or []]
         where.append("(" + (" OR ".join(hay) or ("TRUE" if s.spark else "1")) + ")")
     if where:
@@ -165,15 +185,17 @@ def _jq_filter(f: Filter) -> str:
 
 def jq(f: Filter | None = None, search: str = "", sort: tuple[str, bool] | None = None, transform: Transform | None = None, columns: list[str] | None = None, lines: bool = True) -> Code:
     code = Code("")
+    _caveats(code, f, "jq")
     steps = [] if f is None or f.match_all() else [f"select({_jq_filter(f)})"]
     if search:
         steps.append(f"select([.. | scalars | select(. != null) | tostring | ascii_downcase] | any(.[]; contains({json.dumps(search.lower(), ensure_ascii=False)})))")
         code.note("jq lowers ASCII letters only")
+        code.note("jq writes numbers in its own way before it searches them; here they are searched as the file has them")
     t = transform or Transform()
     specs: list[ColumnSpec] = t.columns(columns or []) if t.select or columns else []
-    last = "{" + ", ".join(f"{json.dumps(c.alias or leaf(c.path))}: (first({_jq_path(parse(c.path))}) // null)" for c in specs) + "}" if specs else ""
+    last = "{" + ", ".join(f"{json.dumps(c.alias or leaf(c.path))}: ([{_jq_path(parse(c.path))}] | .[0])" for c in specs) + "}" if specs else ""
     if sort:
-        code.note("sort_by orders kinds as jq does")
+        code.note("sort_by orders kinds as jq does, a missing key as null, and reverse turns ties around")
         inner = " | ".join(["inputs" if lines else ".[]", *steps])
         text = f"[{inner}] | sort_by({_jq_path(parse(sort[0]))})" + (" | reverse" if sort[1] else "") + " | .[]" + (f" | {last}" if last else "")
     else:

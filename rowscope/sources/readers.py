@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,15 +63,13 @@ def open_source(spark: SparkSession, path: str, format: str | None = None, raw:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``_ord``: the row's place in the input, without gaps.  Rows of earlier partitions are counted, not gathered."""
+    """``_ord``: the row's place in the scan's order, without gaps.  Rows of earlier partitions are counted, not gathered."""
     part = df.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    before = {r["_p"]: r["n"] for r in part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = [], 0
-    for p in range(max(before, default=-1) + 1):
-        starts.append(total)
-        total += before.get(p, 0)
-    shift = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_p")) if starts else F.lit(0).cast("long")
-    return part.withColumn(ORD, shift + F.col("_i")).drop("_p", "_i")
+    sizes = sorted((r["_p"], r["n"]) for r in part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))  # noqa: B905
+    # one row a partition: the driver's own list of tasks is as long
+    table = df.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return part.join(F.broadcast(table), "_p").withColumn(ORD, F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
 
 
 def parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -41,8 +41,12 @@ def _schema(path: str, table: str) -> T.StructType:
     """Columns by what is stored in them: whole numbers, numbers, or text for anything else."""
     fields = []
     with connect(path) as db:
-        for _, name, declared, *_ in db.execute(f"pragma table_info({quote(table)})"):
-            kinds = {r[0] for r in db.execute(f"select distinct typeof({quote(name)}) from {quote(table)}")} - {"null"}
+        columns = [r[1:3] for r in db.execute(f"pragma table_info({quote(table)})")]
+        stored = ("integer", "real", "text", "blob")
+        ask = ", ".join(f"max(typeof({quote(name)}) = '{k}')" for name, _ in columns for k in stored)
+        seen = db.execute(f"select {ask} from {quote(table)}").fetchone()  # one scan for all columns
+        for i, (name, declared) in enumerate(columns):
+            kinds = {k for k, has in zip(stored, seen[4 * i : 4 * i + 4], strict=True) if has}
             kind: T.DataType = T.LongType() if kinds == {"integer"} else T.DoubleType() if kinds and kinds <= {"integer", "real"} else T.StringType()
             if (declared or "").upper() in ("BOOLEAN", "BOOL") and kinds == {"integer"}:
                 kind = T.BooleanType()
@@ -110,10 +114,11 @@ class SqliteReader(DataSourceReader):
                 return [_Range(None, None, 0)]
             parts = max(1, min(1024, n // RANGE_ROWS))
             step = (high - low) // parts + 1
-            out = []
-            for a in range(low, high + 1, step):
-                before = db.execute(f"select count(*) from {quote(self.table)} where _rowid_ < ?", (a,)).fetchone()[0]
+            sizes = dict(db.execute(f"select (_rowid_ - ?) / ?, count(*) from {quote(self.table)} group by 1", (low, step)))
+            out, before = [], 0
+            for k, a in enumerate(range(low, high + 1, step)):
                 out.append(_Range(a, a + step - 1, before))
+                before += sizes.get(k, 0)
             return out
 
     def read(self, part: _Range) -> Iterator[tuple]:

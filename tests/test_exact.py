@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from rowscope.explorer import Explorer, Query, matching
+from rowscope.explorer import Explorer, Query, Superseded, matching
 from rowscope.functions.access import ORD
 from rowscope.operators.edits import Edit
 from rowscope.plans.filters import Condition, Filter
@@ -81,3 +81,24 @@ def test_drafts_of_columns():
     assert rename(specs, 0, "x") == [ColumnSpec("a", "x"), ColumnSpec("b.c")] and hide(specs, 0) == [ColumnSpec("b.c")] and hide(specs[:1], 0) == specs[:1]
     with pytest.raises(ValueError, match="twice"):
         rename(specs, 0, "c")
+
+
+def test_a_later_query_supersedes(spark, tmp_path, monkeypatch):
+    p = write(tmp_path / "a.ndjson", "".join(f'{{"i":{i}}}\n' for i in range(50)))
+    e = Explorer(spark)
+    h = e.open(p)
+    assert e.source(h).df.is_cached and not e.source(e.open(p, budget_mb=0)).df.is_cached
+    real = e._specs
+    monkeypatch.setattr(e, "_specs", lambda *a: (monkeypatch.setattr(e, "_specs", real), e.query(h, Query(limit=3), request="r"), real(*a))[2])
+    with pytest.raises(Superseded):  # another query of the request ran meanwhile
+        e.query(h, Query(limit=2), request="r")
+    assert len(e.query(h, Query(limit=2), request="r").rows) == 2 and [r["index"] for r in e.query(h, Query(offset=48, limit=5)).rows] == [48, 49]
+
+
+def test_caveats():
+    from rowscope.operators import codegen
+
+    f = Filter((Condition("a", "regex", "x", True), Condition("b", "in", [])))
+    assert len(codegen.sql(f, "q", ("a", True), None, ["a", "b"]).notes) == 6 and len(codegen.jq(f, "q", ("a", True)).notes) == 6
+    assert codegen.sql(Filter(), table="t").notes == [] and "left out" in codegen.sql(Filter(), "q").notes[-1]
+    assert codegen.jq(Filter(), "", None, Transform((ColumnSpec("a"),))).text == '{"a": ([.["a"]?] | .[0])}'
