@@ -169,6 +169,25 @@ def value_counts(obs: DataFrame) -> DataFrame:
     return obs.groupBy("path", "kind", "whole", "num", "str").agg(F.count(F.lit(1)).alias("n"))
 
 
+def flat_counts(df: DataFrame) -> DataFrame:
+    """``value_counts`` of a source of flat typed columns: grouped by the column's number and its typed value alone."""
+    fields = [f for f in df.schema.fields if f.name not in (ORD, "_raw")]
+    items = []
+    for i, f in enumerate(fields):
+        c, k = F.col(f"`{f.name.replace('`', '``')}`"), kind_of(f.dataType)
+        whole = c.try_cast("bigint") if k == "int" else c.cast("bigint") if k == "bool" else F.lit(None).cast("bigint")
+        num = c.cast("double") if k == "float" else F.lit(None).cast("double")
+        text = as_text(c, f.dataType) if k == "string" else F.when(whole.isNull(), c.cast("string")) if isinstance(f.dataType, T.DecimalType) and k == "int" else F.lit(None).cast("string")
+        items.append(F.struct(F.lit(i).alias("p"), whole.alias("whole"), num.alias("num"), text.alias("str")))
+    got = df.select(F.inline(F.array(*items))).groupBy("p", "whole", "num", "str").agg(F.count(F.lit(1)).alias("n"))
+    names, kinds = (F.get(F.array(*[F.lit(x) for x in xs]), F.col("p")) for xs in ([f.name for f in fields], [kind_of(f.dataType) for f in fields]))
+    empty = F.col("whole").isNull() & F.col("num").isNull() & F.col("str").isNull()
+    kind = F.when(empty, "null").otherwise(kinds)
+    whole = F.when(kind == "int", F.col("whole"))
+    num = F.when(kind.isin("int", "float"), F.coalesce("num", F.col("whole").cast("double"), F.col("str").try_cast("double")))
+    return got.select(names.alias("path"), kind.alias("kind"), whole.alias("whole"), num.alias("num"), "str", "n")
+
+
 def key_text() -> Column_:
     """The text of a value: numbers shortest, strings as they are, none for other kinds."""
     number = F.when(F.col("kind") == "int", F.coalesce(F.col("whole").cast("string"), F.col("str"))).when(F.col("kind") == "float", number_text(F.col("num"), T.DoubleType()))
@@ -296,7 +315,8 @@ def profile(source: Source, approximate: bool = False, skipped: int | None = Non
     obs = observations(df)
     records = df.count()
     many = promoted(obs) if approximate else {}
-    counts = value_counts(obs.where(~F.col("path").isin([*many])) if many else obs).persist()
+    flat = RECORD not in df.columns and all(_flat(f.dataType) for f in df.schema.fields if f.name not in (ORD, "_raw"))
+    counts = (flat_counts(df) if flat and not many else value_counts(obs.where(~F.col("path").isin([*many])) if many else obs)).persist()
     try:
         stats = statistics(counts)
         found = stats.collect()
