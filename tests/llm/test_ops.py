@@ -543,3 +543,47 @@ def test_long_passages_are_found(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([*enumerate(passages)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()} == {(i, i % 5) for i in range(40)}
+
+
+def test_rules_on_held_out_rows(spark):
+    """Trees fitted without the held-out fold judge it; documents that fail the base rules are never kept."""
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    docs, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.held_out(F.col("doc_id"))
+    out = rules.apply_rules(docs.select("doc_id", "text"), rules.train(docs, marks.where(~held)))
+    got = out.join(marks, "doc_id").where(held).select("quality", "kept", "base_failed", "n_words", "n_repeat_words").collect()
+    assert len(got) > 500 and not any(r["kept"] and r["base_failed"] for r in got)
+    assert all(r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) for r in got)
+    free = [r for r in got if not r["base_failed"]]
+    assert np.mean([r["kept"] == (r["quality"] == 1) for r in free]) > 0.95
+    model = quality.train(docs, marks.where(~held))
+    seen = quality.classify(docs.select("doc_id", "text", "source", "lang"), model).join(marks, "doc_id").where(held).select("quality", "kept").collect()
+    assert np.mean([r["kept"] == (r["quality"] == 1) for r in seen]) > 0.9
+
+
+def test_paraphrases_are_candidates(spark):
+    """Passages with every eighth, fourth or third word replaced, or with neighbours swapped, in texts of the same words."""
+    rng = np.random.default_rng(31)
+    words = [f"t{i}" for i in range(1500)]
+    passages = [list(rng.choice(words, int(n))) for n in rng.integers(18, 58, 24)]
+    rows, want = [], set()
+    for i in range(360):
+        text = list(rng.choice(words, 120))
+        if i % 3 == 0:
+            p, k = passages[i // 3 % 24].copy(), i // 3 % 4
+            for j in range(0, len(p) - 1, 2) if k == 3 else []:
+                p[j], p[j + 1] = p[j + 1], p[j]
+            p = [str(rng.choice(words)) if k < 3 and j % (8, 4, 3)[k] == 2 else w for j, w in enumerate(p)]
+            text[50:50] = p
+            want.add((i, i // 3 % 24, k))
+        rows.append((i, " ".join(text)))
+    bench = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), bench).collect()}
+    for k in range(4):
+        own = {(d, i) for d, i, x in want if x == k}
+        assert len(own & got) >= 0.9 * len(own), k
+    assert {d for d, _ in got} <= {d for d, _, _ in want}
