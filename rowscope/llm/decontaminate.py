@@ -118,7 +118,7 @@ def inverse(counts: np.ndarray, n: int) -> np.ndarray:
 def _passages(b: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The sums of ``table`` over each WIDTH words, the last filled up with nothing."""
     n = -(-len(b) // WIDTH)
-    rows = np.r_[table, np.zeros((1, table.shape[1]), table.dtype)]
+    rows = np.r_[table, np.zeros((1, np.size(table, 1)), table.dtype)]
     return rows.take(np.r_[b, np.full(n * WIDTH - len(b), BUCKETS)], axis=0).reshape(n, WIDTH, -1).sum(1)
 
 
@@ -238,7 +238,7 @@ class Items:
         for width, _, most in SCALES:
             # a passage longer than the window has a vector for each window's length of it, the last up to its end
             own = [(i, a) for i in np.flatnonzero((size > low) & (size <= most)).tolist() for a in sorted({*range(0, max(1, size[i] - width), width), max(0, size[i] - width)})]
-            vec = np.array([table[bucket(words[i][a : a + width])].sum(0) for i, a in own], np.float32).reshape(-1, table.shape[1])
+            vec = np.array([table[bucket(words[i][a : a + width])].sum(0) for i, a in own], np.float32).reshape(-1, np.size(table, 1))
             norm = np.maximum(1e-9, np.linalg.norm(vec, axis=1))
             scales.append((np.array([i for i, _ in own], np.int64), np.ascontiguousarray((vec / norm[:, None]).T), norm))
             low = most
@@ -271,11 +271,11 @@ def search(arr: pa.Array, items: Items, table: np.ndarray, cosine: float, likely
     cut = np.repeat(first[:-1], parts) + step * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     text_of = np.repeat(np.arange(len(count)), parts)
     # the words of a step, one column after another; past a text's end stands a row of zeros
-    rows, b, stop = np.r_[table, np.zeros((1, table.shape[1]), np.float32)], np.r_[bucket(w), BUCKETS], first[text_of + 1]
+    rows, b, stop = np.r_[table, np.zeros((1, np.size(table, 1)), np.float32)], np.r_[bucket(w), BUCKETS], first[text_of + 1]
     sums = rows.take(b[cut], axis=0)
     for i in range(1, step):
         sums += rows.take(np.where(cut + i < stop, b[np.minimum(cut + i, len(w))], BUCKETS), axis=0)
-    run = np.r_[np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)]
+    run = np.r_[np.zeros((1, np.size(sums, 1)), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)]
     last_part, classes = np.cumsum(parts)[text_of], word_class(w)
     for (width, stride, _), (own, vectors, norm) in zip(SCALES, items.scales, strict=True):
         if not len(own):

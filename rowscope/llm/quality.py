@@ -51,7 +51,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     got = stats_rows(labelled_sample(docs.select("doc_id", text), labels, label, rows), text, label).toPandas()
     x = _spread(np.array(got["x"].tolist()).reshape(len(got), len(FEATURES)))
     y = (got[label].to_numpy(float) > 0).astype(float)
-    k = x.shape[1]
+    k = np.size(x, 1)
     if not len(y) or y.min() == y.max():
         return Evidence(np.zeros(k), np.ones(k), np.r_[4.0 if not len(y) or y.max() > 0 else -4.0, np.zeros(k)])
     order = np.lexsort([*x.T, y])

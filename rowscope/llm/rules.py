@@ -56,7 +56,7 @@ class Trees:
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, lam: float = 1.0, least: float = 8.0) -> Trees:
-    n, k = x.shape
+    n, k = len(x), np.size(x, 1)
     if not n or y.min() == y.max():
         z = np.zeros(1, np.int64)
         return Trees(np.array([-1]), np.zeros(1), z, z, np.zeros(1), np.zeros(0, np.int64), 1, 4.0 if not n or y.max() > 0 else -4.0)
@@ -127,7 +127,7 @@ def stats_rows(docs: DataFrame, text: str, *carry: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         x = features(measure(texts(batch, text)))
-        return {"x": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))}
+        return {"x": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, np.size(x, 1), dtype=np.int32)), pa.array(x.ravel()))}
 
     return map_text(docs.select(*carry, text), text, run, schema)
 

@@ -65,8 +65,8 @@ def parse(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     ends = np.flatnonzero(np.r_[new[1:], True])
     last = ends[np.searchsorted(ends, first)]
     t = at[first]
-    shape = ((t - first) * 1_000_003 + (last - first)).astype(np.uint64)
-    return first, last - first + 1, t, g[t], mix(h.range(first, last + length) + mix(shape)), mix(Hasher(buf, True).range(first, last + length) + shape)
+    place = ((t - first) * 1_000_003 + (last - first)).astype(np.uint64)
+    return first, last - first + 1, t, g[t], mix(h.range(first, last + length) + mix(place)), mix(Hasher(buf, True).range(first, last + length) + place)
 
 
 def _pieces(arr: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -145,7 +145,7 @@ def _block_table(docs: DataFrame, fine: DataFrame) -> DataFrame:
                     near = at[:, None] + np.r_[np.arange(-BLOCK + 1, 0), LENGTH - BLOCK + 1 + np.arange(BLOCK - 1)] + BLOCK
                     around = pad[np.clip(near, 0, len(pad) - 1)]
                     place = (t[own] - BLOCK * j) << 8 | lo[own] << 4 | hi[own]
-                    flat = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, around.size + 1, around.shape[1], dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around))])
+                    flat = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, around.size + 1, np.size(around, 1), dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around))])
                     yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(core2.view(np.int64)), flat, b.column("k").take(pa.array(row[own])), pa.array(place)], names=["core", "core2", "around", "k", "p"])
 
     return joined.mapInArrow(run, "core long, core2 long, around binary, k long, p long")

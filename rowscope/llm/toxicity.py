@@ -157,8 +157,8 @@ def learn(rows: DataFrame, least_docs: int = 4, least_weight: float = 2.0, most_
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 60) -> np.ndarray:
     a = np.c_[np.ones(len(x)), x]
-    w = np.zeros(a.shape[1])
-    r = np.full(a.shape[1], ridge)
+    w = np.zeros(np.size(a, 1))
+    r = np.full(np.size(a, 1), ridge)
     r[0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
