@@ -11,6 +11,7 @@ from rowscope.explorer import Explorer, matching, projected, window
 from rowscope.explorer import Query as ExplorerQuery
 from rowscope.functions.access import ORD, Accessor
 from rowscope.functions.kinds import number_text
+from rowscope.llm.common import stored
 from rowscope.operators import codegen, diff, profile, schema, visual
 from rowscope.plans.filters import Condition, Filter
 from rowscope.plans.ordering import sort_keys
@@ -171,12 +172,13 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("sort_desc_ties", _ties, "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_custkey LIMIT 200 OFFSET 10")
 
 
-def _ranked(df: DataFrame, sort: tuple[str, bool]) -> DataFrame:
-    """The whole sorted table, each row with its place in the order."""
-    return numbered(df.orderBy(*sort_keys(*sort, Accessor(df))).withColumnRenamed(ORD, "key")).withColumnRenamed(ORD, "place")
+def _ranked(df: DataFrame, sort: tuple[str, bool], *keep: str) -> DataFrame:
+    """The whole table, sorted once: ``keep`` of each row, its ordinal as ``key`` and its place in the order."""
+    rows = df.orderBy(*sort_keys(*sort, Accessor(df))).select(*keep, F.col(ORD).alias("key"))
+    return numbered(rows, stored).withColumnRenamed(ORD, "place")
 
 
-add("sort_nulls_first", lambda s, d: _ranked(labelled(s, d), ("quality", False)).select("doc_id", "quality", "place"), f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality NULLS FIRST, doc_id) - 1 AS place FROM {_LABELLED}")
+add("sort_nulls_first", lambda s, d: _ranked(labelled(s, d), ("quality", False), "doc_id", "quality").drop("key"), f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality NULLS FIRST, doc_id) - 1 AS place FROM {_LABELLED}")
 add("sort_filtered", lambda s, d: projected(window(matching(load(s, d, "events"), _one("event_type", "eq", "click")), ("event_id", False), 20, 30), [ColumnSpec("event_id")]).drop(ORD), "SELECT event_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 30 OFFSET 20")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -62,9 +63,15 @@ def open_source(spark: SparkSession, path: str, format: str | None = None, raw:
     return json_source(spark, path, json_mode(path, head, format))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``_ord``: the row's place in the scan's order, without gaps.  Rows of earlier partitions are counted, not gathered."""
+def numbered(df: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``_ord``: the row's place in the scan's order, without gaps.  Rows of earlier partitions are counted, not gathered.
+
+    Rows are read twice.  Those of a scan are in the same partitions again; a sort draws its ranges anew in each run, and
+    AQE merges them by the bytes of the columns read, so its rows and their places go through ``keep``, which stores them.
+    """
     part = df.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    if keep:
+        part = keep(part)
     sizes = sorted((r["_p"], r["n"]) for r in part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
     starts = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))  # noqa: B905
     # one row a partition: the driver's own list of tasks is as long

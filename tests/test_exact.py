@@ -11,6 +11,7 @@ from rowscope.functions.access import ORD
 from rowscope.operators.edits import Edit
 from rowscope.plans.filters import Condition, Filter
 from rowscope.plans.projection import ColumnSpec, Transform, hide, rename
+from rowscope.queries import QUERIES
 from rowscope.sources import open_source
 
 
@@ -102,3 +103,25 @@ def test_caveats():
     assert len(codegen.sql(f, "q", ("a", True), None, ["a", "b"]).notes) == 6 and len(codegen.jq(f, "q", ("a", True)).notes) == 6
     assert codegen.sql(Filter(), table="t").notes == [] and "left out" in codegen.sql(Filter(), "q").notes[-1]
     assert codegen.jq(Filter(), "", None, Transform((ColumnSpec("a"),))).text == '{"a": ([.["a"]?] | .[0])}'
+
+
+@pytest.fixture
+def several_partitions(spark):
+    """A sort keeps its four ranges, as large tables do."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+N = 20_000
+
+
+def test_sort_nulls_first_over_several_partitions(spark, tmp_path, several_partitions):
+    quality = {i: i % 2 for i in range(0, N, 3)}
+    pq.write_table(pa.table({"doc_id": pa.array(range(N), pa.int64())}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array(list(quality), pa.int64()), "quality": pa.array(list(quality.values()), pa.int32()), "toxic": pa.array([0] * len(quality), pa.int32())}), tmp_path / "labels.parquet")
+    order = sorted(range(N), key=lambda i: (quality.get(i, -1), i))
+    got = QUERIES["sort_nulls_first"](spark, str(tmp_path)).select("doc_id", "quality", "place").collect()
+    assert sorted(got, key=lambda r: r["place"]) == [(i, quality.get(i), place) for place, i in enumerate(order)]
