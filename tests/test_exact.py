@@ -125,3 +125,11 @@ def test_sort_nulls_first_over_several_partitions(spark, tmp_path, several_parti
     order = sorted(range(N), key=lambda i: (quality.get(i, -1), i))
     got = QUERIES["sort_nulls_first"](spark, str(tmp_path)).select("doc_id", "quality", "place").collect()
     assert sorted(got, key=lambda r: r["place"]) == [(i, quality.get(i), place) for place, i in enumerate(order)]
+
+
+def test_sort_mixed_kinds_over_several_partitions(spark, tmp_path, several_partitions):
+    name = {i: f"c{i * 7919 % N}" for i in range(N)}
+    pq.write_table(pa.table({"c_custkey": pa.array(list(name), pa.int64()), "c_name": list(name.values())}), tmp_path / "customer.parquet")
+    order = sorted(range(N), key=lambda i: (i % 5, name[i] if i % 5 == 3 else "", i))
+    got = QUERIES["sort_mixed_kinds"](spark, str(tmp_path)).select("c_custkey", "kind", "place").collect()
+    assert sorted(got, key=lambda r: r["place"]) == [(i, i % 5, place) for place, i in enumerate(order)]
