@@ -5,7 +5,9 @@ have one order, rarest first, and two sets that are similar enough share one amo
 filter).  Sets that meet there are tried round by round.  Each round a set tries the set before it and the best linked
 set in every bucket that still holds sets of several classes, what is verified is contracted, and once few pairs of
 different classes are left, or hardly one try in fifty is a link, all of them are tried.  So a group of near copies costs rows
-in proportion to its members, and no pair that can reach the similarity is left out.
+in proportion to its members, and no pair that can reach the similarity is left out.  Where all are tried, the join of
+the buckets compares parities of the sets (512 bits, each different shingle turns one), so pairs of a crowd of texts
+that are too different end there, and what is verified follows the pairs that are similar, not the crowd's square.
 
 A pair is first compared by bitmaps, which bound the difference of two sets from below, and then by the sets.  Sets are
 of 32-bit hashes; the search is by 64-bit hashes.  A text of fewer words is one shingle; texts without words are alike.
@@ -29,6 +31,8 @@ SEED = 42
 #: Classes of shingles by whose counts the shingles are ordered; any order gives the same links.
 COUNTERS = 1 << 17
 MOST_BITS = 1 << 16
+#: Words of 64 bits of a set's parities.
+PARITY = [f"p{i}" for i in range(8)]
 
 
 def shingle_sets(arr: pa.Array, width: int = 5) -> list[np.ndarray]:
@@ -180,6 +184,18 @@ def _bitmap(h: np.ndarray) -> bytes:
     return np.packbits(flag).tobytes()
 
 
+def _parity(h: np.ndarray) -> np.ndarray:
+    """A bit for each residue: whether an odd number of hashes has it.  Two sets differ in as many hashes as bits at least."""
+    odd = np.bincount(h % np.uint32(64 * len(PARITY)), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _may_agree(x: str, y: str, similarity: float):
+    """Whether sets ``x`` and ``y`` of a join can be similar enough by their sizes and parities."""
+    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITY[1:]), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
+    return apart <= (F.col(f"{x}.size") + F.col(f"{y}.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _fold(a: np.ndarray, size: int) -> np.ndarray:
     return a if len(a) == size else np.bitwise_or.reduce(a.reshape(-1, size), 0)
 
@@ -196,17 +212,19 @@ class Sets:
         self.table = self._gathered(wanted, False)
 
     def _gathered(self, wanted: DataFrame, whole: bool) -> DataFrame:
-        """(f, n, s) of the wanted names: s is the set or its bitmap."""
+        """(f, n, s) of the wanted names: s is the set or its bitmap, which comes with parities."""
         width = self.width
+        parity = [] if whole else PARITY
 
         def run(batches):
             for fs, sets in _set_batches(batches, width):
                 short = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in sets]
                 s = [x.tobytes() if whole else _bitmap(x) for x in short]
-                yield pa.RecordBatch.from_arrays([pa.array(fs), pa.array([len(x) for x in short], pa.int32()), pa.array(s, pa.binary())], names=["f", "n", "s"])
+                odd = np.stack([_parity(x) for x in short]) if parity else np.zeros((len(short), 0))
+                yield pa.RecordBatch.from_arrays([pa.array(fs), pa.array([len(x) for x in short], pa.int32()), pa.array(s, pa.binary()), *(pa.array(odd[:, i]) for i in range(len(parity)))], names=["f", "n", "s", *parity])
 
         rows = stored(wanted.join(self.one, "f").select("__key", "__text"))
-        out = stored(join_small(self.lean, rows, ["__key", "__text"], "left_semi", 1_000_000).select("__t").mapInArrow(run, "f long, n int, s binary"))
+        out = stored(join_small(self.lean, rows, ["__key", "__text"], "left_semi", 1_000_000).select("__t").mapInArrow(run, ", ".join(["f long, n int, s binary", *(f"{p} long" for p in parity)])))
         if out.count() > rows.count():  # repeated rows in different tasks
             out, many = stored(out.dropDuplicates(["f"])), out
             dropped(many)
@@ -286,14 +304,15 @@ def similar_links(lean: DataFrame, one: DataFrame, proposed: DataFrame, similari
         last = 50 * found <= tried or pairs <= 2 * open_.count()
         if last:
             # of each pair one set at least is not of the bucket's greatest class
-            y = classed.join(several.select("v", "major"), "v").alias("y")
-            x = classed.join(several.select("v", "major"), "v").where("c <> major").alias("x")
+            marks = sets.table.select("f", F.col("n").alias("size"), *PARITY)
+            crowd = stored(open_.join(several.select("v", "major"), "v").join(marks, "f"))
+            x, y = crowd.where("c <> major").alias("x"), crowd.alias("y")
             reach = _may_reach(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"), similarity)
-            met2 = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.f") < F.col("y.f"))) & reach)
-            tries = met2.select(F.least("x.f", "y.f").alias("a"), F.greatest("x.f", "y.f").alias("b")).distinct()
+            met2 = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.f") < F.col("y.f"))) & reach & _may_agree("x", "y", similarity))
+            tries = stored(met2.select(F.least("x.f", "y.f").alias("a"), F.greatest("x.f", "y.f").alias("b")).distinct())
+            dropped(crowd)
         else:
-            tries = _tries(open_, similarity, turn)
-        tries = stored(tries)
+            tries = stored(_tries(open_, similarity, turn))
         new = sets.verified(tries)
         found, tried, turn = new.count(), tries.count(), turn + 1
         if found:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rowscope.llm import decontaminate, html, licenses, quality, rules, sentencepieces, sharding, simhash, substrings, toxicity
+from rowscope.llm import decontaminate, html, licenses, quality, rules, sentencepieces, sharding, similar, simhash, substrings, toxicity
 from rowscope.llm.stats import measure
 
 RNG = np.random.default_rng(5)
@@ -587,3 +587,31 @@ def test_paraphrases_are_candidates(spark):
         own = {(d, i) for d, i, x in want if x == k}
         assert len(own & got) >= 0.9 * len(own), k
     assert {d for d, _ in got} <= {d for d, _, _ in want}
+
+
+def test_a_crowd_of_texts_too_different_is_not_verified_pair_by_pair(spark, monkeypatch):
+    """400 texts of one template with four of twenty words of their own: what is verified does not follow the square."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for j, at in enumerate(rng.choice(20, 4, replace=False)):
+            words[5 + 10 * at] = f"own{i}x{j}"
+        rows.append((i, " ".join(words)))
+    for i in range(0, 40, 2):  # and twenty that are near another
+        words = rows[i][1].split()
+        words[-1] = f"end{i}"
+        rows.append((1000 + i, " ".join(words)))
+    verified, pairs = similar.Sets.verified, []
+    monkeypatch.setattr(similar.Sets, "verified", lambda self, p: pairs.append(p.count()) or verified(self, p))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(200)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if v == old else v for k, v in root.items()}
+    assert got == root
+    assert pairs[-1] < 4_000, pairs
