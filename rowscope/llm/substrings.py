@@ -172,17 +172,17 @@ def repeated(docs: DataFrame) -> list[DataFrame]:
     shared = _shared(_phrase_table(docs, False), ["a"], [F.col("c"), F.col("c2")])
     found = stored(_phrase_table(docs, True).join(shared, "a"))
     many = found.where("many")
-    me = F.xxhash64("k", "p")
-    counts = stored(many.groupBy("a", "c", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("one")))
-    known = stored(many.join(counts, ["a", "c", "c2"]).select("k", "p", "n", (me == F.col("one")).alias("one")))
-    whole = found.where("not many").select("k", "p").unionAll(known.where("n > 1").select("k", "p"))
+    # a place of each phrase comes with its count, so only those found more often are looked up again
+    counts = stored(many.groupBy("a", "c", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min_by("p", "k").alias("p")))
+    again = many.join(counts.where("n > 1"), ["a", "c", "c2"], "left_semi")
+    whole = found.where("not many").select("k", "p").unionAll(again.select("k", "p"))
     spans = stored(whole.select("k", F.shiftright("p", 16).alias("s"), (F.shiftright("p", 8).bitwiseAND(F.lit(255)) + 1).alias("n")))
-    dropped(shared, found, counts)
+    dropped(shared, found)
     # a phrase found once, and one of each found more often, may share windows with other phrases of its trigger
-    blocks = stored(_block_table(docs, known.where("n = 1 or one").select("k", "p")))
+    blocks = stored(_block_table(docs, counts.select("k", "p")))
     cores = _shared(blocks, ["core", "core2"], [F.xxhash64("around"), F.hash("around")])
     met = stored(blocks.join(cores, ["core", "core2"]).select("core", "core2", "around", "k", "p", "many"))
-    dropped(known, blocks, cores)
+    dropped(counts, blocks, cores)
     sure = met.where("not many").select("k", (F.shiftright("p", 8) - F.col("p").bitwiseAND(F.lit(15))).alias("s"), (F.col("p").bitwiseAND(F.lit(15)) - F.shiftright("p", 4).bitwiseAND(F.lit(15)) + 1).alias("n"))
     sure = stored(sure.where("n > 0"))
     windows = stored(met.where("many").select("core", "core2", "around", "k", "p").mapInArrow(_windows, "w long, w2 long, k long, s long"))

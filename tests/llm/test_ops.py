@@ -615,3 +615,27 @@ def test_a_crowd_of_texts_too_different_is_not_verified_pair_by_pair(spark, monk
                 root = {k: new if v == old else v for k, v in root.items()}
     assert got == root
     assert pairs[-1] < 4_000, pairs
+
+
+def test_phrases_found_once_are_not_looked_up(spark, monkeypatch):
+    """Forty texts share a passage; the phrases over its ends differ from text to text and have their places at once."""
+    rng = np.random.default_rng(9)
+
+    def own(n):
+        return " ".join("".join(rng.choice(SYL, 3)) for _ in range(n))
+
+    passage = own(90)
+    rows = [(i, f"{own(40)} {passage} {own(40)}") for i in range(40)]
+    frame, looked = type(spark.range(0)), []
+    join = frame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == ["a", "c", "c2"]:
+            looked.append((out.count(), out.groupBy(*on).count().where("count = 1").count()))
+        return out
+
+    monkeypatch.setattr(frame, "join", counted)
+    parts = substrings.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_removed"] >= len(passage) for r in parts)
+    assert [single for _, single in looked] == [0], looked
