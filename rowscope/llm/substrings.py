@@ -6,7 +6,8 @@ windows with one trigger; phrases overlap by the window length, so none is a pre
 The dictionary holds the distinct phrases with their counts, the parse is each text's sequence of phrases.
 
 A window repeats if and only if an equal window of the same trigger exists elsewhere.  A trigger found once clears all
-windows of its phrase; a phrase found twice marks all of them.  What is left, phrases found once whose trigger is
+windows of its phrase; a phrase found twice marks all of them.  Phrases that one text repeats are marked there, as runs,
+and stand in the dictionary once for the text, with their count.  What is left, phrases found once whose trigger is
 shared, is refined: blocks of 16 windows are compared by the 185 bytes that their windows have in common, and blocks
 that share those are compared window by window, from the 30 bytes around them.  Only equality at depth 200 is needed,
 so hash classes of the dictionary and the parse stand in for their suffix arrays and no total order of the corpus, and
@@ -35,6 +36,8 @@ LENGTH = 200
 GRAM = 48
 BLOCK = 16
 SEGMENT = 8 << 20
+#: Windows of a span; its place and its length share a number.
+MOST = 0xFFFF
 _LOW = np.uint64(0xFFFFFF)
 
 
@@ -96,23 +99,51 @@ def _key(text: str) -> F.Column:
     return F.xxhash64(F.col("__id"), F.coalesce(F.col(text), F.lit("")))
 
 
+def _found_again(row: np.ndarray, a: np.ndarray, c: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first occurrences, how often each is in its text, occurrences of phrases that their own text repeats)."""
+    order = np.lexsort((c2, c, a, row))  # stable: places stay in order
+    new = np.arange(len(row)) == 0
+    for x in (row, a, c, c2):
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    at = np.flatnonzero(new)
+    times = np.diff(np.r_[at, len(row)])
+    return order[at], times, np.sort(order[np.repeat(times, times) > 1])
+
+
+def _runs(row: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window << 16 | windows) of the phrases ``p``, in the order of their texts, those that follow each other in one."""
+    start, end = p >> 16, (p >> 16) + ((p >> 8) & 255) + 1
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != end[:-1])][: len(p)])
+    start, end = start[new], end[np.r_[new[1:], len(p)][: len(new)] - 1]
+    parts = -((start - end) // MOST)
+    first = np.repeat(start, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return np.repeat(row[new], parts), first << 16 | np.minimum(MOST, np.repeat(end, parts) - first)
+
+
 def _phrase_table(docs: DataFrame, places: bool) -> DataFrame:
+    """Each text's different phrases, how often it holds them (``m``) and a place; m = 0: its runs of those held twice, under one's trigger."""
+
     def run(batches):
         for whole in batches:
             for b in slices(whole, "__t"):
-                row, p, a, c, c2 = phrases(texts(b, "__t"))
-                cols, names = [x.view(np.int64) for x in (a, c, c2)], ["a", "c", "c2"]
+                row, p, *hashes = phrases(texts(b, "__t"))
+                own, m, twice = _found_again(row, *hashes)
+                cols, names = [*(x[own].view(np.int64) for x in hashes), m], ["a", "c", "c2", "m"]
                 if places:
-                    cols, names = [*cols, b.column("k").to_numpy()[row], p], [*names, "k", "p"]
+                    of, run = _runs(row[twice], p[twice])
+                    trigger = hashes[0][twice].view(np.int64)[np.searchsorted(row[twice], of)]
+                    none = np.zeros(len(of), np.int64)
+                    cols = [np.r_[x, y] for x, y in zip(cols, (trigger, none, none, none), strict=True)]
+                    cols, names = [*cols, b.column("k").to_numpy()[np.r_[row[own], of]], np.r_[p[own], run]], [*names, "k", "p"]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
 
-    return docs.mapInArrow(run, "a long, c long, c2 long" + ", k long, p long" * places)
+    return docs.mapInArrow(run, "a long, c long, c2 long, m long" + ", k long, p long" * places)
 
 
-def _shared(df: DataFrame, keys: list[str], kinds: list) -> DataFrame:
-    """(keys, many): keys of two rows or more, and whether these are of more than one kind."""
+def _shared(df: DataFrame, keys: list[str], kinds: list, times: str = "1") -> DataFrame:
+    """(keys, many): keys found two ``times`` or more, and whether their rows are of more than one kind."""
     ends = [f(k).alias(f"{n}{i}") for i, k in enumerate(kinds) for n, f in (("x", F.min), ("y", F.max))]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *ends)
+    g = df.groupBy(*keys).agg(F.expr(f"sum({times})").alias("n"), *ends)
     return stored(g.where("n > 1").select(*keys, F.expr(" or ".join(f"x{i} <> y{i}" for i in range(len(kinds)))).alias("many")))
 
 
@@ -169,14 +200,17 @@ def _windows(batches):
 
 def repeated(docs: DataFrame) -> list[DataFrame]:
     """Stored tables (k, s, n): windows s to s + n - 1 of text k also start elsewhere.  ``docs`` has k and __t."""
-    shared = _shared(_phrase_table(docs, False), ["a"], [F.col("c"), F.col("c2")])
+    shared = _shared(_phrase_table(docs, False), ["a"], [F.col("c"), F.col("c2")], "m")
     found = stored(_phrase_table(docs, True).join(shared, "a"))
-    many = found.where("many")
-    # a place of each phrase comes with its count, so only those found more often are looked up again
-    counts = stored(many.groupBy("a", "c", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.min_by("p", "k").alias("p")))
-    again = many.join(counts.where("n > 1"), ["a", "c", "c2"], "left_semi")
-    whole = found.where("not many").select("k", "p").unionAll(again.select("k", "p"))
-    spans = stored(whole.select("k", F.shiftright("p", 16).alias("s"), (F.shiftright("p", 8).bitwiseAND(F.lit(255)) + 1).alias("n")))
+    many = found.where("many and m > 0")
+    # a place of each phrase comes with its count, so only those found more often are looked up again; what a text itself
+    # repeats is in its runs
+    counts = stored(many.groupBy("a", "c", "c2").agg(F.sum("m").alias("n"), F.min("k").alias("k"), F.min_by("p", "k").alias("p")))
+    again = many.where("m = 1").join(counts.where("n > 1"), ["a", "c", "c2"], "left_semi")
+    whole = found.where("not many and m = 1").select("k", "p").unionAll(again.select("k", "p"))
+    spans = whole.select("k", F.shiftright("p", 16).alias("s"), (F.shiftright("p", 8).bitwiseAND(F.lit(255)) + 1).alias("n"))
+    runs = found.where("m = 0").select("k", F.shiftright("p", 16).alias("s"), F.col("p").bitwiseAND(F.lit(MOST)).alias("n"))
+    spans = stored(spans.unionAll(runs))
     dropped(shared, found)
     # a phrase found once, and one of each found more often, may share windows with other phrases of its trigger
     blocks = stored(_block_table(docs, counts.select("k", "p")))

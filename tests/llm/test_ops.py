@@ -639,3 +639,28 @@ def test_phrases_found_once_are_not_looked_up(spark, monkeypatch):
     parts = substrings.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["n_removed"] >= len(passage) for r in parts)
     assert [single for _, single in looked] == [0], looked
+
+
+def test_what_a_text_repeats_is_marked_there(spark, monkeypatch):
+    """Texts with long stretches of one short line; a stretch of over 65,535 windows; copies of a stretch's edge elsewhere."""
+    rng = np.random.default_rng(10)
+
+    def own(n):
+        return " ".join("".join(rng.choice(SYL, 3)) for _ in range(n))
+
+    line, edge = "Is onhe. ", own(20)
+    rows = [(i, f"{own(30)} {edge}{line * int(rng.integers(30, 300))}{own(30)}") for i in range(20)]
+    rows += [(20, "ab " * 30_000), (21, own(20) + "ab " * 80), (22, own(60)), (23, line * 23), (24, None), (25, ("xyz " * 60 + own(10)) * 2)]
+    frame, looked = type(spark.range(0)), []
+    join = frame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == ["a", "c", "c2"]:
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "join", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    test_substrings_equal_brute_force(docs)
+    assert max(looked) <= 3 * len(rows), looked
